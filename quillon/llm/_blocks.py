@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
+#: Entries that a bucket merges at once, for inputs up to 2**40 bytes; with its temporary arrays, under 200 MB.
+BUCKET_ENTRIES = 1_000_000
 
 PAYLOAD = "block int, phase int, bucket int, payload binary"
 PAYLOAD_ARROW = pa.schema([("block", pa.int32()), ("phase", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -39,8 +40,9 @@ def sized(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_
     return docs.withColumn("block", F.pmod(key, F.lit(n)).cast("int")), n, total
 
 
-def buckets(n_bytes: float, blocks: int) -> int:
-    return max(1, min(4096 * max(1, blocks // 4096), math.ceil(n_bytes / BUCKET_BYTES)))
+def buckets(entries: float, blocks: int) -> int:
+    """So many buckets for all blocks' entries; beyond 2**18 blocks they grow with the blocks' size."""
+    return max(1, math.ceil(entries / BUCKET_ENTRIES / max(1, blocks / (1 << 18))))
 
 
 def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
@@ -77,12 +79,13 @@ def pack_gaps(values: np.ndarray) -> bytes:
     gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
     first, gaps = int(gaps[0]), gaps[1:]
     mean = int(gaps.mean()) if len(gaps) else 1
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or mean * 8 < 1 << (8 * w))
+    width = min(8, max(1, -(-(mean * 8).bit_length() // 8)))
     top = (1 << (8 * width)) - 1
-    big = np.flatnonzero(gaps >= top) if width < 8 else np.zeros(0, np.int64)
-    small = gaps.copy()
+    big = np.flatnonzero(gaps >= np.uint64(top)) if width < 8 else np.zeros(0, np.int64)
+    small = gaps.astype("<u8")
     small[big] = top
-    return np.array([first, len(gaps), width, len(big)], np.uint64).tobytes() + big.astype(np.uint64).tobytes() + gaps[big].astype(np.uint64).tobytes() + small.astype(f"<u{width}").tobytes()
+    small = np.ascontiguousarray(small.view(np.uint8).reshape(-1, 8)[:, :width])
+    return np.array([first, len(gaps), width, len(big)], np.uint64).tobytes() + big.astype(np.uint64).tobytes() + gaps[big].astype(np.uint64).tobytes() + small.tobytes()
 
 
 def unpack_gaps(raw: bytes) -> np.ndarray:
@@ -91,6 +94,35 @@ def unpack_gaps(raw: bytes) -> np.ndarray:
     first, n, width, big = (int(x) for x in np.frombuffer(raw, np.uint64, 4))
     at = np.frombuffer(raw, np.uint64, big, 32).astype(np.int64)
     val = np.frombuffer(raw, np.uint64, big, 32 + 8 * big)
-    gaps = np.frombuffer(raw, f"<u{width}", n, 32 + 16 * big).astype(np.uint64)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, 32 + 16 * big).reshape(n, width)
+    gaps = wide.view("<u8").reshape(-1).astype(np.uint64)
     gaps[at] = val
     return np.cumsum(np.concatenate([np.array([first], np.uint64), gaps]), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of a byte each, with a longer form from 255 on."""
+    big = np.flatnonzero(counts >= 255)
+    return np.array([len(big)], np.int64).tobytes() + counts[big].astype(np.int64).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    big = int(np.frombuffer(raw, np.int64, 1)[0])
+    out = np.frombuffer(raw, np.uint8, offset=8 + 8 * big).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.int64, big, 8)
+    return out
+
+
+def join(*parts: bytes) -> bytes:
+    """Parts on end, each with its length; split() takes them apart."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def split(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out

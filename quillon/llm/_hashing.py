@@ -63,6 +63,17 @@ def byte_symbols(buf: np.ndarray, seed: int) -> np.ndarray:
     return _BYTES[seed][buf]
 
 
+def byte_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, slice_bytes: int = 1 << 19) -> np.ndarray:
+    """Fingerprints of buf[start:end] for sorted ranges that don't overlap, in slices to bound memory."""
+    out, at = np.empty(len(start), _U), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + slice_bytes, side="right")))
+        a, b = int(start[at]), int(end[to - 1])
+        out[at:to] = ranges(prefix(byte_symbols(buf[a:b], seed), seed), start[at:to] - a, end[at:to] - a, seed)
+        at = to
+    return out
+
+
 def text_buffer(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes on end, and the n + 1 offsets. A null text is empty."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

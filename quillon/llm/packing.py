@@ -88,7 +88,7 @@ class WordEncoder:
             self.clear()
         starts, ends, ptr = H.word_spans(buf, offs)
         raw, size = buf.tobytes(), ends - starts
-        h = [H.ranges(H.prefix(H.byte_symbols(buf, s), s), starts, ends, s) for s in (0, 1)]
+        h = [H.byte_ranges(buf, starts, ends, s) for s in (0, 1)]
         _, first, back = np.unique(h[0], return_index=True, return_inverse=True)
         if ((h[1] != h[1][first][back]) | (size != size[first][back])).any():  # two words share a fingerprint
             first, back = np.arange(len(starts)), np.arange(len(starts))

@@ -42,7 +42,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
     """
     base, n_blocks, total = B.sized(docs, id_col, text_col)
     slots = min(63, math.ceil(math.log2(max(total // 5, 2))) + 5)
-    n_sketch, n_exact = B.buckets(total / 5 * 2.5, n_blocks), B.buckets(total / 5 * 20 / 2, n_blocks)
+    n_sketch, n_exact = B.buckets(total / 5, n_blocks), B.buckets(total / 10, n_blocks)
 
     def windows_of(table, wide):
         buf, offs = H.text_buffer(table.column("text"))
@@ -50,7 +50,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
         at, doc = H.windows(ptr, window)
         out = []
         for seed in (0, 1) if wide else (0,):
-            word = H.ranges(H.prefix(H.byte_symbols(buf, seed), seed), starts, ends, seed)
+            word = H.byte_ranges(buf, starts, ends, seed)
             out.append(H.ranges(H.prefix(word, seed + 2), at, at + window, seed + 2))
         return buf, offs, ptr, at, doc, out
 
