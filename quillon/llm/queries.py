@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.exact_dedup import EXACT_SQL, exact_groups
+from quillon.llm.lm_scoring import score
+from quillon.llm.near_dedup import near_groups
 from quillon.llm.packing import pack
+from quillon.llm.quality_rules import judge
 from quillon.llm.substring_dedup import remove_repeated_windows
 
 
@@ -17,17 +20,29 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_read(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_quality_rules, op6_exact_dedup, op8_near_dedup, op9_lm_scoring, op10_packing)}
 
 #: DuckDB SQL for those that SQL expresses in reasonable time on whole tables.
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL}
