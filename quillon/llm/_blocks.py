@@ -126,3 +126,41 @@ def split(raw: bytes) -> list[bytes]:
         out.append(raw[at + 8 : at + 8 + n])
         at += 8 + n
     return out
+
+
+def sketch_rows(block: int, phase: int, slots: np.ndarray, counts: np.ndarray, cut: np.ndarray) -> pa.Table:
+    """One payload a bucket: its slots as gaps, and whether each was met more than once."""
+    out = []
+    for b in range(len(cut) - 1):
+        if cut[b + 1] > cut[b]:
+            s = slice(cut[b], cut[b + 1])
+            out.append((b, join(pack_gaps(slots[s]), np.packbits(counts[s] > 1).tobytes())))
+    return rows(block, phase, out)
+
+
+def merge_sketches(table: pa.Table) -> pa.Table:
+    """Replies for a bucket of sketch_rows(): a bit for each slot, whether it was met more than once in all."""
+    parts = [split(p) for p in table.column("payload").to_pylist()]
+    slot = [unpack_gaps(p[0]) for p in parts]
+    seen, back, count = np.unique(np.concatenate(slot), return_inverse=True, return_counts=True)
+    for s, p in zip(slot, parts, strict=True):
+        count[np.searchsorted(seen, s)] += np.unpackbits(np.frombuffer(p[1], np.uint8), count=len(s))
+    repeated, ends = (count > 1)[back], np.cumsum([len(s) for s in slot])
+    return answered(table, [np.packbits(repeated[e - len(s) : e]).tobytes() for e, s in zip(ends, slot, strict=True)])
+
+
+def answered(table: pa.Table, payloads: list[bytes]) -> pa.Table:
+    """The questions' rows with answers for payloads."""
+    return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
+
+
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with equal keys: the first row of each group in sorted order, all rows' groups, and the groups' sizes."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = order[new]
+    return first, group, np.bincount(group, minlength=len(first))

@@ -10,6 +10,7 @@ from quillon.llm.near_dedup import near_groups
 from quillon.llm.packing import pack
 from quillon.llm.quality_rules import judge
 from quillon.llm.substring_dedup import remove_repeated_windows
+from quillon.llm.suffix_dedup import remove_repeated_strings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_strings(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_quality_rules, op6_exact_dedup, op8_near_dedup, op9_lm_scoring, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op6_exact_dedup, op8_near_dedup, op9_lm_scoring, op10_packing)}
 
 #: DuckDB SQL for those that SQL expresses in reasonable time on whole tables.
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL}
