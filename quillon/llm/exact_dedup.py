@@ -77,6 +77,15 @@ def exact_groups(docs: DataFrame, mean_chunk: int = 2048, id_col: str = "doc_id"
     return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that exact_groups() keeps, with all their columns."""
+    stays = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("kept_id__"), F.col("text_sha256").alias("kept_sha__"))
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
+    own = docs.withColumn("own_sha__", digest)
+    found = own.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id__")) & (F.col("own_sha__") == F.col("kept_sha__")), "left_semi")
+    return found.dropDuplicates([id_col, "own_sha__"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 EXACT_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -26,6 +26,13 @@ def _per_text(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return cum[offs[1:]] - cum[offs[:-1]]
 
 
+def adjacent_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each word equals the one before it in its document."""
+    out = np.zeros(len(word), bool)
+    out[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
+    return out
+
+
 def _repeats(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which items equal another of their document; which equal an earlier one."""
     key = H.mix(h ^ H.mix(doc.astype(np.uint64) + np.uint64(1)))
@@ -49,7 +56,8 @@ def features(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(edge, at[twice], 1)
     np.subtract.at(edge, at[twice] + 3, 1)
     covered = np.cumsum(edge)[: len(starts)] > 0
-    _, later_word = _repeats(word, np.repeat(np.arange(n), np.diff(ptr)))
+    word_doc = np.repeat(np.arange(n), np.diff(ptr))
+    _, later_word = _repeats(word, word_doc)
     # Lines: cut at \n and at the texts' ends.
     newline = np.flatnonzero(buf == 10)
     begin = np.unique(np.concatenate([offs[:-1], newline + 1]))
@@ -67,6 +75,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "n_words": np.diff(ptr), "word_chars": _per_text(lead & ~H.SPACE[buf], offs), "n_symbols": _per_text(_SYMBOL[buf], offs),
         "n_dup_lines": np.bincount(line_doc[later_line], minlength=n), "n_repeat_words": at_text(covered), "n_lines": np.bincount(line_doc, minlength=n),
         "n_upper": _per_text(upper, offs), "n_letters": _per_text(upper | lower, offs), "n_distinct_words": at_text(~later_word), "n_ends": at_text(last),
+        "n_adjacent": at_text(adjacent_repeats(word, word_doc)), "n_digits": _per_text((buf >= 48) & (buf <= 57), offs),
         "n_bars": at_text((ends - starts == 1) & (buf[starts] == ord("|"))) if len(starts) else np.zeros(n, np.int64),
     }
 
@@ -119,31 +128,67 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     return share, acc, post[:, 0]
 
 
+def _measure(part, col: int) -> list[pa.Array]:
+    got = features(*H.text_buffer(part.column(col)))
+    return [pa.array(got[k], pa.int64()) for k in _LONGS[1:]]
+
+
+def _votes() -> Column:
+    """All rules' votes as one number: a digit of base 3 a rule."""
+    votes = [F.when(good, 1).when(bad, 2).otherwise(0) for good, bad in rules().values()]
+    return sum((v * F.lit(3**i) for i, v in enumerate(votes)), F.lit(0)).cast("int")
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def measure(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_measure(part, 1)], names=_LONGS)
+
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return read.mapInArrow(measure, ", ".join(f"{c} long" for c in _LONGS)).withColumn("votes", _votes())
+
+
+def _posteriors(measured: DataFrame) -> DataFrame:
+    """(votes, posterior): one row a vote pattern met, of which there are at most 3**rules."""
+    found = measured.groupBy("votes").count().orderBy("votes").collect()
+    codes = np.array([r["votes"] for r in found], np.int64)
+    patterns = codes[:, None] // 3 ** np.arange(len(rules())) % 3
+    _, _, post = fit_accuracies(patterns, np.array([r["count"] for r in found], float))
+    return measured.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], "votes int, posterior double")
+
+
+def _verdict(measured: DataFrame, posteriors: DataFrame, least_words: int, keep_from: float) -> DataFrame:
+    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    out = measured.join(F.broadcast(posteriors), "votes").withColumn("base_failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
+
+
 def judge(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document with its measures, base_failed, votes, posterior and kept.
+    """One row a document with its measures, base_failed, kept, posterior and votes.
 
     kept is false for base_failed rows (under least_words words, or over half of the
     words in repeated 3-word windows), else whether the posterior reaches keep_from.
     A null or empty text has no words and fails; ids may be null or repeat; an empty
     table gives an empty result; other columns are ignored.
     """
+    seen = materialise(_measured(docs, id_col, text_col))
+    out = _verdict(seen, _posteriors(seen), least_words, keep_from)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
+
+
+def keep_good(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that judge() keeps, with all their columns. Texts are measured twice rather than shuffled."""
+    posteriors = _posteriors(_measured(docs, id_col, text_col))
+    columns, own = docs.columns, docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def measure(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                got = features(*H.text_buffer(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[k], pa.int64()) for k in _LONGS[1:])], names=_LONGS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_measure(part, 1)], names=["row", *_LONGS[1:]])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    votes = [F.when(good, 1).when(bad, 2).otherwise(0) for good, bad in rules().values()]
-    code = sum((v * F.lit(3**i) for i, v in enumerate(votes)), F.lit(0)).cast("int")
-    seen = materialise(read.mapInArrow(measure, ", ".join(f"{c} long" for c in _LONGS)).withColumn("votes", code))
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = seen.groupBy("votes").count().orderBy("votes").collect()  # at most 3**8 patterns
-    codes = np.array([r["votes"] for r in found], np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(len(votes)) % 3
-    _, _, post = fit_accuracies(patterns, np.array([r["count"] for r in found], float))
-    table = seen.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], "votes int, posterior double")
-    out = seen.join(F.broadcast(table), "votes").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
+    kind = own.schema["row"].dataType.simpleString()
+    measured = own.mapInArrow(measure, f"row {kind}, " + ", ".join(f"{c} long" for c in _LONGS[1:])).withColumn("votes", _votes())
+    return _verdict(measured, posteriors, least_words, keep_from).filter("kept").select(*(F.col("row").getField(c).alias(c) for c in columns))
