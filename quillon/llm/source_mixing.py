@@ -83,9 +83,10 @@ def mix_sources(
     empty result.
     """
     names = {k: _fresh(docs.columns, f"mix_{k}") for k in ("pass", "block", "tokens", "weight")}
-    n, blk = names["tokens"], names["block"]
-    own = docs.withColumn(n, tokens if tokens is not None else F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-    stats = own.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.sum(n).alias("t"), F.count(F.lit(1)).alias("c")).orderBy("s").limit(MOST_SOURCES + 1).collect()
+    words = tokens if tokens is not None else F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
+    # All of docs' columns travel as one, so that none can clash with ours.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).cast("string").alias("s"), F.col(id_col).cast("string").alias("id"), words.cast("long").alias("n"))
+    stats = own.groupBy("s").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).orderBy("s").limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
     sizes = [r["t"] or 0 for r in stats]
@@ -94,26 +95,25 @@ def mix_sources(
     for r, t, x, times in zip(stats, sizes, w, repeats(sizes, w, budget), strict=True):
         quota = int(times * t + 0.5)
         plan.append((r["s"], float(x), quota // t if t else 1, quota % t if t else 0, max(1, -(-r["c"] // block_docs))))
-    quotas = docs.sparkSession.createDataFrame(plan, "q_s string, q_w double, q_full long, q_rest long, q_blocks long")
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    dealt = own.join(quotas, F.col(source_col).cast("string").eqNullSafe(F.col("q_s")))
-    dealt = dealt.withColumn(blk, F.pmod(F.xxhash64(key, F.lit(1)), F.col("q_blocks")))
+    quotas = docs.sparkSession.createDataFrame(plan, "q string, weight double, full long, rest long, blocks long")
+    key = F.xxhash64("id", F.lit(seed))
+    dealt = own.join(quotas, F.col("s").eqNullSafe(F.col("q"))).withColumn("block", F.pmod(F.xxhash64(key, F.lit(1)), F.col("blocks")))
     # Tokens before each block in the last pass's permutation of its source's blocks.
-    blocks = dealt.groupBy("q_s", blk, "q_full").agg(F.sum(n).alias("q_t"))
-    turn = Window.partitionBy("q_s").orderBy(F.xxhash64(blk, F.lit(seed), "q_full"), blk)
-    before = blocks.select(F.col("q_s").alias("b_s"), F.col(blk).alias("b_b"), (F.sum("q_t").over(turn) - F.col("q_t")).alias("b_t"))
-    placed = dealt.join(before, F.col("q_s").eqNullSafe(F.col("b_s")) & (F.col(blk) == F.col("b_b")))
-    inside = Window.partitionBy("q_s", blk).orderBy(F.xxhash64(key, "q_full"), id_col, n).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("b_t") + F.sum(n).over(inside) <= F.col("q_rest")
-    passes = placed.withColumn("q_n", F.col("q_full") + F.when((F.col("q_rest") > 0) & last, 1).otherwise(0)).filter("q_n > 0")
-    out = passes.withColumn(names["pass"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_n") - 1))).withColumn(names["weight"], F.col("q_w"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *names.values()), names
+    turn = Window.partitionBy("q").orderBy(F.xxhash64("block", F.lit(seed), "full"), "block")
+    before = dealt.groupBy("q", "block", "full").agg(F.sum("n").alias("t")).select(F.col("q").alias("b_q"), F.col("block").alias("b_block"), (F.sum("t").over(turn) - F.col("t")).alias("before"))
+    placed = dealt.join(before, F.col("q").eqNullSafe(F.col("b_q")) & (F.col("block") == F.col("b_block")))
+    inside = Window.partitionBy("q", "block").orderBy(F.xxhash64(key, "full"), "id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("before") + F.sum("n").over(inside) <= F.col("rest")
+    passes = placed.withColumn("passes", F.col("full") + F.when((F.col("rest") > 0) & last, 1).otherwise(0)).filter("passes > 0")
+    out = passes.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
+    added = {"pass": "pass", "block": "block", "tokens": "n", "weight": "weight"}
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(names[k]) for k, c in added.items())), names
 
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:
     """A row for each document and pass: doc_id, source, n_tokens, pass, block, weight."""
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    text_col = options.pop("text_col", "text")
+    text_col = options.get("text_col", "text")
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
-    mixed, names = mix_sources(thin, tokens=F.col("n_tokens"), **{k: v for k, v in options.items() if k not in ("id_col", "source_col")})
+    mixed, names = mix_sources(thin, tokens=F.col("n_tokens"), **{k: v for k, v in options.items() if k not in ("id_col", "source_col", "text_col")})
     return mixed.select("doc_id", "source", "n_tokens", F.col(names["pass"]).alias("pass"), F.col(names["block"]).alias("block"), F.round(names["weight"], 9).alias("weight"))
