@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -130,47 +131,47 @@ def _column(f):
     return run
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _column(normal_tail)(z)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _column(t_tail)(t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _column(f_tail)(f, d1, d2)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _column(chi2_tail)(x, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_inverse(p: pd.Series) -> pd.Series:
     return _column(normal_quantile)(p)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return _column(lambda *x: hypergeometric_tail(*(int(v) for v in x)))(a, b, c, d)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _column(lcs_ratio)(a, b)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fuzzy_partial(a: pd.Series, b: pd.Series) -> pd.Series:
     return _column(partial_ratio)(a, b)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fuzzy_token_sort(a: pd.Series, b: pd.Series) -> pd.Series:
     words = lambda s: " ".join(sorted(s.split()))
     return _column(lambda x, y: lcs_ratio(words(x), words(y)))(a, b)
