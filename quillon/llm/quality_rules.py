@@ -95,7 +95,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "repeated_lines": (lines < 0.1, lines > 0.4),
         "distinct_words": ((c("n_words") >= 50) & (per("n_distinct_words") > 0.3), (c("n_words") >= 20) & (per("n_distinct_words") < 0.15)),
         "word_length": (length.between(3, 9), ~length.between(2, 14)),
-        "sentences": ((per("n_ends") > 0.02) & (per("n_ends") < 0.5), (c("n_words") >= 50) & (per("n_ends") < 0.004)),
+        "sentences": ((per("n_ends") > 0.02) & (per("n_ends") < 0.5), per("n_ends") > 0.9),
         "tables": (per("n_bars") < 0.02, per("n_bars") > 0.15),
     }
 
