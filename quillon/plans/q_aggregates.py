@@ -29,7 +29,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_
 
 @query(
     "A2_site_parameter",
-    """SELECT l_suppkey, l_returnflag, round(avg(l_extendedprice), 4) AS value_mean, round(quantile_cont(l_extendedprice, 0.5), 4) AS value_median, max(l_extendedprice) AS value_max, count(*) AS value_count, min(l_shipdate) AS first_date, CASE WHEN l_returnflag IN ('A', 'R') THEN count(*) FILTER (WHERE l_extendedprice > 50000) END AS exceedances FROM lineitem GROUP BY ALL""",
+    """SELECT l_suppkey, l_returnflag, round(avg(l_extendedprice), 4) AS value_mean, round(quantile_cont(l_extendedprice, 0.5), 4) AS value_median, max(l_extendedprice) AS value_max, count(*) AS value_count, min(l_shipdate) AS first_date, CASE WHEN l_returnflag IN ('A', 'R') THEN count(*) FILTER (WHERE l_extendedprice > 50000) END AS exceedances FROM lineitem GROUP BY l_suppkey, l_returnflag""",
 )
 def a2(spark, sf):
     v = "l_extendedprice"
