@@ -33,8 +33,11 @@ def with_p(tested: DataFrame) -> DataFrame:
 
 def kruskal(df: DataFrame, group: str, value: str, by: list[str]) -> DataFrame:
     """H without tie correction, and H / (n - 1), by key."""
-    r = df.withColumn("_r", S.average_rank(by, value))
-    g = r.groupBy(*by, group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"))
+    # Rows with one value share a rank, so only counts by value are ordered, not the rows.
+    cell = df.groupBy(*by, value, group).agg(F.count(F.lit(1)).alias("_c"))
+    tie = cell.groupBy(*by, value).agg(F.sum("_c").alias("_t"))
+    rank = tie.withColumn("_r", F.sum("_t").over(Window.partitionBy(*by).orderBy(value)) - (F.col("_t") - 1) / 2).drop("_t")
+    g = cell.join(rank, [*by, value]).groupBy(*by, group).agg(F.sum("_c").alias("_n"), F.sum(F.col("_r") * F.col("_c")).alias("_s"))
     n = F.sum("_n")
     h = 12 / (n * (n + 1)) * F.sum(F.col("_s") * F.col("_s") / F.col("_n")) - 3 * (n + 1)
     return g.groupBy(*by).agg(h.alias("h"), (h / (n - 1)).alias("effect"))

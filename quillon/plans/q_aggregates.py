@@ -294,7 +294,7 @@ def a31(spark, sf):
     return M.rubin_pool(_studies(spark, sf), ["grp"], "e", "se").select("grp", F.round("estimate", 6).alias("estimate"), F.round("variance", 10).alias("variance"))
 
 
-@query("A32_subgroup_meta", f"WITH {_STUDIES}, w AS (SELECT grp, e, 1 / (se * se) w FROM s WHERE se > 0 AND study < 30) SELECT grp, count(*) AS n_studies, round(sum(w * e) / sum(w), 6) AS effect FROM w GROUP BY 1 HAVING count(*) >= 2")
+@query("A32_subgroup_meta", f"WITH {_STUDIES}, w AS (SELECT grp, e, 1 / (se * se) w FROM s WHERE se > 0) SELECT grp, count(*) AS n_studies, round(sum(w * e) / sum(w), 6) AS effect FROM w GROUP BY 1 HAVING count(*) >= 2")
 def a32(spark, sf):
-    m = M.meta_analysis(_studies(spark, sf).filter("study < 30"), ["grp"], "e", "se").filter("n_studies >= 2")
+    m = M.meta_analysis(_studies(spark, sf), ["grp"], "e", "se").filter("n_studies >= 2")
     return m.select("grp", "n_studies", F.round("fixed_effect", 6).alias("effect"))

@@ -21,18 +21,16 @@ def s_regex(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("number"), F.regexp_count("p_name", F.lit("[aeiou]")).cast("long").alias("vowels"), F.col("p_name").rlike("(?i)RING|widget").alias("hit"), F.regexp_replace("p_name", "[aeiou]", "*").alias("masked"))
 
 
-@query("S_fuzzy_levenshtein", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INT AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 100")
+@query("S_fuzzy_levenshtein", "SELECT p_partkey, levenshtein(p_name, lower(p_type))::INT AS distance, round(1 - levenshtein(p_name, lower(p_type)) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS similarity FROM part")
 def s_lev(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    a, b = p.filter("p_partkey < 100").toDF("a", "an", "p_brand"), p.toDF("b", "bn", "p_brand")
-    return a.join(b, "p_brand").filter("a < b").select("a", "b", F.levenshtein("an", "bn").alias("distance"))
+    d = F.levenshtein("p_name", F.lower("p_type"))
+    return table(spark, sf, "part").select("p_partkey", d.alias("distance"), F.round(1 - d / F.greatest(F.length("p_name"), F.length("p_type")), 6).alias("similarity"))
 
 
 @query("S_fuzzy_ratio")
 def s_ratio(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    a, b = p.filter("p_partkey < 100").toDF("a", "an", "p_brand"), p.toDF("b", "bn", "p_brand")
-    return a.join(b, "p_brand").filter("a < b").select("a", "b", special.fuzzy_ratio("an", "bn").alias("ratio"), special.fuzzy_partial("an", "bn").alias("partial"), special.fuzzy_token_sort("an", "bn").alias("token_sort"))
+    p = table(spark, sf, "part").select("p_partkey", "p_name", F.lower("p_type").alias("t"))
+    return p.select("p_partkey", special.fuzzy_ratio("p_name", "t").alias("ratio"), special.fuzzy_partial("p_name", "t").alias("partial"), special.fuzzy_token_sort("p_name", "t").alias("token_sort"))
 
 
 @query("S_hash", "SELECT doc_id, substr(sha256(concat_ws('|', lang, source, CAST(doc_id AS VARCHAR))), 1, 16) AS master_id, md5(text) AS content_md5 FROM documents")

@@ -210,11 +210,12 @@ def m48(spark, sf):
     return c.select("user_id", "event_type", F.round(F.log1p(F.col("n") / F.sum("n").over(Window.partitionBy("user_id")) * 1e6), 6).alias("log_cpm"))
 
 
-@query("M50_bray_curtis", "WITH c AS (SELECT user_id u, event_type t, count(*)::DOUBLE n FROM events WHERE user_id < 40 GROUP BY ALL), s AS (SELECT u, sum(n) s FROM c GROUP BY 1), m AS (SELECT a.u x, b.u y, sum(least(a.n, b.n)) m FROM c a JOIN c b ON a.t = b.t AND a.u < b.u GROUP BY ALL) SELECT x, y, round(1 - 2 * m / (a.s + b.s), 6) AS distance FROM m JOIN s a ON a.u = x JOIN s b ON b.u = y")
+@query("M50_bray_curtis", "WITH c AS (SELECT user_id u, event_type t, count(*)::DOUBLE n FROM events GROUP BY ALL), s AS (SELECT u, sum(n) s FROM c GROUP BY 1), m AS (SELECT a.u x, b.u y, sum(least(a.n, b.n)) m FROM c a JOIN c b ON a.t = b.t AND a.u <> b.u WHERE a.u % 100 = 0 GROUP BY ALL) SELECT x, y, round(1 - 2 * m / (a.s + b.s), 6) AS distance FROM m JOIN s a ON a.u = x JOIN s b ON b.u = y")
 def m50(spark, sf):
-    c = table(spark, sf, "events").filter("user_id < 40").groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    """A query set (every hundredth user) against all."""
+    c = table(spark, sf, "events").groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     s = c.groupBy("u").agg(F.sum("n").alias("s"))
-    m = c.toDF("x", "t", "nx").join(c.toDF("y", "t", "ny"), "t").filter("x < y").groupBy("x", "y").agg(F.sum(F.least("nx", "ny")).alias("m"))
+    m = c.filter("u % 100 = 0").toDF("x", "t", "nx").join(c.toDF("y", "t", "ny"), "t").filter("x <> y").groupBy("x", "y").agg(F.sum(F.least("nx", "ny")).alias("m"))
     return m.join(s.toDF("x", "sx"), "x").join(s.toDF("y", "sy"), "y").select("x", "y", F.round(1 - 2 * F.col("m") / (F.col("sx") + F.col("sy")), 6).alias("distance"))
 
 
