@@ -23,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after limiting the session's Arrow batches to so many rows: texts may be long, and a batch is held
+    several times between Spark and Python. A smaller limit that is already set stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
