@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,8 +13,16 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _U = np.uint64
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BYTES: dict[int, np.ndarray] = {}
+
+
+def process_cache(name: str) -> dict:
+    """A dictionary that lives as long as the worker process.
+
+    Functions pickled by value bring their own copy of a module's globals to each
+    task; what is kept there is made anew a task and freed late.
+    """
+    home = sys.modules.setdefault("_quillon_process_cache", types.ModuleType("_quillon_process_cache"))
+    return home.__dict__.setdefault(name, {})
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,7 +41,8 @@ def _base(seed: int) -> int:
 
 def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the seed's odd base modulo 2**64, and their inverses."""
-    have = _POWERS.get(seed)
+    known = process_cache("powers")
+    have = known.get(seed)
     if have is None or len(have[0]) < n:
         size, b = 1 << max(16, int(n - 1).bit_length()), _base(seed)
         out = []
@@ -38,7 +50,7 @@ def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.full(size, x, _U)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        have = _POWERS[seed] = tuple(out)
+        have = known[seed] = tuple(out)
     return have[0][:n], have[1][:n]
 
 
@@ -58,9 +70,10 @@ def ranges(pre: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np
 
 def byte_symbols(buf: np.ndarray, seed: int) -> np.ndarray:
     """A random 64-bit symbol for each byte."""
-    if seed not in _BYTES:
-        _BYTES[seed] = np.random.default_rng(1000 + seed).integers(0, 2**64, 256, _U)
-    return _BYTES[seed][buf]
+    known = process_cache("bytes")
+    if seed not in known:
+        known[seed] = np.random.default_rng(1000 + seed).integers(0, 2**64, 256, _U)
+    return known[seed][buf]
 
 
 def byte_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, slice_bytes: int = 1 << 19) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _hashing as H
+from quillon.llm._shared import bounded_batches
 
 _RECIPE = "doc_id long, text_sha256 string, chunks array<struct<digest:binary,check:binary,length:int>>"
 
@@ -62,7 +63,7 @@ def exact_groups(docs: DataFrame, mean_chunk: int = 2048, id_col: str = "doc_id"
                 chunks.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(chunks, pa.list_(pa.struct([("digest", pa.binary()), ("check", pa.binary()), ("length", pa.int32())])))], names=["doc_id", "text_sha256", "chunks"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Rows that agree in id and text are one entry with a count.
     entry = read.mapInArrow(recipes, _RECIPE).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"), F.first("chunks").alias("chunks"))
     placed = entry.select("doc_id", "text_sha256", "copies", F.posexplode("chunks").alias("at", "chunk")).select("doc_id", "text_sha256", "copies", "at", "chunk.*")

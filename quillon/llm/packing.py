@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _hashing as H
-from quillon.llm._shared import materialise
+from quillon.llm._shared import bounded_batches, materialise
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-_CACHED = 1_500_000
-_LOADED: dict[str, "WordEncoder"] = {}
+#: Words that a worker remembers; about 100 MB.
+_CACHED = 250_000
 
 
 def _byte_chars() -> list[str]:
@@ -100,9 +100,11 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+    """The process's encoder for a vocabulary file."""
+    known = H.process_cache("encoders")
+    if path not in known:
+        known[path] = WordEncoder(path)
+    return known[path]
 
 
 class OpenWindows:
@@ -168,8 +170,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, ope
             return own - 1, items
 
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 buf, offs = H.text_buffer(part.column(1))
                 ids, ptr = enc.encode(buf, offs)
                 done = []
@@ -197,6 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, ope
                             n = 0
                         pos += n
                 yield from marked(done, False)
+        enc.clear()  # an idle worker keeps no words
         while held.room:
             yield from marked([numbered(held.close_fullest())], True)
 
@@ -221,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, ope
         ids = sorted(windows)  # each merged sequence keeps the number of one of its windows
         return pa.Table.from_batches([_table(list(zip(ids, done, strict=False)))])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, -(-read.rdd.getNumPartitions() * open_windows // merge_windows))
     first = materialise(read.mapInArrow(packed, PIECE + ", open boolean"))
     rest = first.filter("open").drop("open").withColumn("part", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))

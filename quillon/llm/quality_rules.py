@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _hashing as H
-from quillon.llm._shared import materialise
+from quillon.llm._shared import bounded_batches, materialise
 
 _LONGS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct_words", "n_ends", "n_bars"]
 _SYMBOL = np.zeros(256, bool)
@@ -128,8 +128,8 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     return share, acc, post[:, 0]
 
 
-def _measure(part, col: int) -> list[pa.Array]:
-    got = features(*H.text_buffer(part.column(col)))
+def _measure(texts: pa.Array) -> list[pa.Array]:
+    got = features(*H.text_buffer(texts))
     return [pa.array(got[k], pa.int64()) for k in _LONGS[1:]]
 
 
@@ -142,11 +142,11 @@ def _votes() -> Column:
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def measure(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_measure(part, 1)], names=_LONGS)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_measure(part.column(1))], names=_LONGS)
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return read.mapInArrow(measure, ", ".join(f"{c} long" for c in _LONGS)).withColumn("votes", _votes())
 
 
@@ -181,13 +181,14 @@ def judge(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id_col
 def keep_good(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that judge() keeps, with all their columns. Texts are measured twice rather than shuffled."""
     posteriors = _posteriors(_measured(docs, id_col, text_col))
-    columns, own = docs.columns, docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    columns, own = docs.columns, docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    at_text = columns.index(text_col)
 
     def measure(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_measure(part, 1)], names=["row", *_LONGS[1:]])
+            for at in range(0, batch.num_rows, 1000):
+                row = batch.column(0).slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([row, *_measure(row.flatten()[at_text])], names=["row", *_LONGS[1:]])
 
     kind = own.schema["row"].dataType.simpleString()
     measured = own.mapInArrow(measure, f"row {kind}, " + ", ".join(f"{c} long" for c in _LONGS[1:])).withColumn("votes", _votes())
