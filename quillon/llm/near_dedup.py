@@ -9,7 +9,9 @@ exhaustively: token agreement first, then, on the full sets, the exact
 similarity. A node returns a spanning forest of its links, never all pairs.
 
 Documents with equal sets are one entry throughout. A node still large after the
-last level holds near copies of one text; it is dealt to slices that share pivots.
+last level is dealt to slices. First each slice is compared within itself and with a
+few pivots, which finds the large groups of near copies; then all pairs of slices are
+compared, except pairs of documents that are connected already.
 """
 
 from __future__ import annotations
@@ -114,7 +116,9 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
     Documents are linked from percent % Jaccard similarity on, confirmed on full
     sets; component_id is the smallest id reachable. With trees * chosen root
     positions, a pair at the threshold meets in no node with a probability of
-    (1 - percent / 100) ** (trees * chosen), 6e-8 by default.
+    (1 - percent / 100) ** (trees * chosen), 6e-8 by default; where all its nodes
+    branch, each level loses some of them, and it is 1e-6 after two levels. All pairs
+    of a node are compared, whatever its size.
 
     Rows without an id are linked with nothing and kept. Rows with equal ids are one
     document. An empty table gives an empty result; other columns are ignored.
@@ -149,17 +153,18 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
     one = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles")
     sets = materialise(one.agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys")))
 
-    def crowded(rows: DataFrame) -> DataFrame:
-        """Members of nodes with two or more; of nodes with the same members, one."""
+    def crowded(rows: DataFrame, branching: bool = False) -> DataFrame:
+        """Members of nodes with two or more; of nodes with the same members, one, unless they branch (each chooses other positions)."""
         own = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
-        first = own.filter("size > 1").groupBy("size", "x", "s").agg(F.min("node").alias("node"))
+        alone = F.when(F.lit(branching) & (F.col("size") > NODE), F.col("node"))
+        first = own.filter("size > 1").groupBy("size", "x", "s", alone.alias("alone")).agg(F.min("node").alias("node"))
         return rows.join(first.select("node", "size"), "node")
 
     rows = sets.select("rep", F.explode("keys").alias("node"))
     tasks = []
     tokens = sets.select("rep", "tokens")
     for level in range(levels + 1):
-        member = materialise(crowded(rows))
+        member = materialise(crowded(rows, level < levels))
         tasks.append(member.filter(F.col("size") <= NODE).select(F.col("node").alias("task"), "rep"))
         large = member.filter(F.col("size") > NODE)
         if level == levels or large.isEmpty():
@@ -167,7 +172,8 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
         known = large.join(tokens, "rep")
         child = [F.xxhash64("node", F.lit(i), F.substring("tokens", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS)).cast("int") + 1, F.lit(1))) for i in range(chosen)]
         rows = known.select("rep", F.explode(F.array_distinct(F.array(*child))).alias("node"))
-    if not large.isEmpty():
+    sliced = not large.isEmpty()
+    if sliced:
         slices = F.ceil(F.col("size") / SLICE).cast("long")
         place = F.xxhash64("rep", "node")
         tasks.append(large.select(F.xxhash64("node", F.pmod(place, slices)).alias("task"), "rep"))
@@ -176,20 +182,17 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
     asked = tasks[0]
     for t in tasks[1:]:
         asked = asked.unionAll(t)
-    asked = materialise(asked.distinct())
-    n_buckets = max(1, -(-asked.count() // BUCKET_ROWS))
-
     def compare_tokens(table):
-        """(group, rep) of documents that resemble another of their node, grouped by resemblance."""
+        """(group, rep) of documents that resemble another of their task that is of another part, grouped by resemblance."""
         order = np.argsort(table.column("task").to_numpy(), kind="stable")
-        task, rep, size = (table.column(c).to_numpy()[order] for c in ("task", "rep", "n_shingles"))
+        task, rep, size, part = (table.column(c).to_numpy()[order] for c in ("task", "rep", "n_shingles", "part"))
         raw = table.column("tokens").to_pylist()
         sig = np.frombuffer(b"".join(raw[i] for i in order), np.uint8).reshape(-1, TOKENS)
         groups, reps = [], []
         for a, b in _runs(task):
-            s, n = sig[a:b], size[a:b]
+            s, n, p = sig[a:b], size[a:b], part[a:b]
             if b - a == 2:
-                close = (s[0] == s[1]).sum() >= least_equal and 100 * n.min() >= percent * n.max()
+                close = p[0] != p[1] and (s[0] == s[1]).sum() >= least_equal and 100 * n.min() >= percent * n.max()
                 alike = np.array([[False, close], [close, False]])
             else:
                 alike = np.empty((b - a, b - a), bool)
@@ -198,7 +201,7 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
                     for t in range(TOKENS):
                         same += s[i : i + 512, t, None] == s[None, :, t]
                     m = n[i : i + 512, None]
-                    alike[i : i + 512] = (same >= least_equal) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+                    alike[i : i + 512] = (same >= least_equal) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (p[i : i + 512, None] != p)
             np.fill_diagonal(alike, False)
             found = np.flatnonzero(alike.any(1))
             if len(found):
@@ -208,10 +211,6 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"node": pa.array(cat(groups), pa.int64()), "rep": pa.array(cat(reps), pa.int64())})
 
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(n_buckets)).cast("int")
-    alike = asked.join(sets.select("rep", "n_shingles", "tokens"), "rep").withColumn("bucket", deal("task"))
-    groups = materialise(crowded(alike.groupBy("bucket").applyInArrow(compare_tokens, "node long, rep long")).drop("size"))
-
     def full_sets(batches):
         for batch in batches:
             h, ptr = shingle_sets(*H.text_buffer(batch.column(1)), shingle)
@@ -237,13 +236,44 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(cat(low), pa.int64()), "b": pa.array(cat(high), pa.int64())})
 
-    wanted = groups.select("rep").distinct()
-    if wanted.count() <= FEW:  # at most 16 MB: texts are filtered where they are read; beyond, both sides are shuffled
-        wanted = F.broadcast(wanted)
-    texts = read.join(wanted, read["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"])
-    held = groups.join(texts.mapInArrow(full_sets, "rep long, shingles binary"), "rep").withColumn("bucket", deal("node"))
-    links = held.groupBy("bucket").applyInArrow(confirm, "a long, b long")
-    linked = components(links).withColumnRenamed("node", "rep")
+    def links(asked: DataFrame) -> DataFrame:
+        """(a, b): links between documents of one task and of different parts, from (task, rep, part)."""
+        asked = materialise(asked)
+        n_buckets = max(1, -(-asked.count() // BUCKET_ROWS))
+        deal = lambda c: F.pmod(F.xxhash64(c), F.lit(n_buckets)).cast("int")
+        alike = asked.join(sets.select("rep", "n_shingles", "tokens"), "rep").withColumn("bucket", deal("task"))
+        groups = materialise(crowded(alike.groupBy("bucket").applyInArrow(compare_tokens, "node long, rep long")).drop("size"))
+        wanted = groups.select("rep").distinct()
+        if wanted.count() <= FEW:  # at most 16 MB: texts are filtered where they are read; beyond, both sides are shuffled
+            wanted = F.broadcast(wanted)
+        texts = read.join(wanted, read["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"])
+        held = groups.join(texts.mapInArrow(full_sets, "rep long, shingles binary"), "rep").withColumn("bucket", deal("node"))
+        return held.groupBy("bucket").applyInArrow(confirm, "a long, b long")
+
+    def slice_pairs(linked: DataFrame) -> DataFrame:
+        """(task, rep, part): each pair of a large node's slices. Large components have slices of their own, which aren't paired with each other."""
+        parted = large.select("node", "rep").join(linked, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("part"))
+        sized = materialise(parted.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n")))
+        big = sized.filter(F.col("n") > SLICE).withColumn("own", F.col("part"))
+        pool = sized.filter(F.col("n") <= SLICE).groupBy("node").agg(F.sum("n").alias("n"))
+        slices = F.ceil(F.col("n") / SLICE).cast("long")
+        numbered = F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("k")
+        key = F.xxhash64("node", "own", "k")
+        every = materialise(big.select("node", "own", numbered).unionByName(pool.select("node", F.lit(None).cast("long").alias("own"), numbered)).select("node", "own", key.alias("slice")))
+        other = every.select("node", F.col("own").alias("own2"), F.col("slice").alias("slice2"))
+        known = F.coalesce(F.col("own") == F.col("own2"), F.lit(False))
+        pairs = every.join(other, "node").filter((F.col("slice") <= F.col("slice2")) & ~known)
+        asked = pairs.select(F.xxhash64("node", "slice", "slice2").alias("task"), F.explode(F.array_distinct(F.array("slice", "slice2"))).alias("slice"))
+        # a row for each SLICE members at most, so that these sides are small
+        placed = parted.join(F.broadcast(big.withColumnRenamed("n", "n_own")), ["node", "part"], "left").join(F.broadcast(pool), "node", "left").withColumn("n", F.coalesce("n_own", "n"))
+        placed = placed.withColumn("k", F.pmod(F.xxhash64("rep", "node"), slices)).select(key.alias("slice"), "rep", "part")
+        return placed.join(asked, "slice").select("task", "rep", "part")
+
+    found = links(asked.distinct().withColumn("part", F.col("rep")))
+    if sliced:
+        linked = materialise(components(found))
+        found = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links(slice_pairs(linked.toDF("rep", "component"))))
+    linked = components(found).withColumnRenamed("node", "rep")
     of_set = sets.select("set_key", "n_shingles", "rep").join(linked, "rep", "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("of_set"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(of_set, ["set_key", "n_shingles"], "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("of_set", "doc_id"))

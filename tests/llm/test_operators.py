@@ -254,6 +254,19 @@ def test_near_large_nodes(spark, monkeypatch):
     assert got == near_components(items)
 
 
+def test_near_large_nodes_without_pivots(spark, monkeypatch):
+    """Pairs within a boilerplate group that no pivot resembles: every pair of slices has to be compared."""
+    monkeypatch.setattr(near_dedup, "NODE", 16)
+    monkeypatch.setattr(near_dedup, "SLICE", 8)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    of = lambda name, n: [f"{name}{k}" for k in range(n)]
+    items = [(2 * i + j, " ".join(of("w", 170) + of(f"p{i}x", 6) + of(f"q{i}x{j}x", 28))) for i in range(80) for j in (0, 1)]
+    want = near_components(items)
+    assert len(set(want.values())) == 80
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df).collect()} == want
+
+
 def test_language_model(docs, rows, none):
     tok = [[*words(low(r[1])), None] for r in rows]
     train = [zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 != 1 for r in rows]
