@@ -17,15 +17,17 @@ def hubs(edges: DataFrame, a: str, b: str, quantile: float) -> DataFrame:
 
 
 def closure(edges: DataFrame, child: str, parent: str, most: int = 50) -> DataFrame:
-    """(node, ancestor, depth) by squaring-free expansion of the frontier until nothing is new; one join a level."""
+    """(node, ancestor, depth) by squaring-free expansion of the frontier until nothing is new; one join a level. More than `most` levels are an error."""
     base = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
     step = base.toDF("ancestor", "next")
     out, front, depth = base.withColumn("depth", F.lit(1)), base, 1
-    while depth < most:
+    while True:
         depth += 1
         front = front.join(step, "ancestor").select("node", F.col("next").alias("ancestor")).distinct().join(out, ["node", "ancestor"], "left_anti")
         if front.isEmpty():
             break
+        if depth > most:
+            raise ValueError(f"ancestors more than {most} levels away")
         out = out.unionByName(front.withColumn("depth", F.lit(depth)))
     return out
 

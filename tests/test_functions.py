@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -59,3 +60,30 @@ def test_stages_resume(spark, tmp_path):
 
     assert stages.run("one", make).count() == stages.run("one", make).count() == 5
     assert len(calls) == 1
+
+
+def test_radius_near_poles_and_date_line(spark):
+    from quillon.operators import joins
+
+    def miles(a, b):
+        x, y = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 3959 * math.asin(math.sqrt(min(h, 1.0)))
+
+    rng = random.Random(3)
+    for radius in (25.0, 150.0):
+        points = [(i, lat + rng.uniform(-1, 1), lon + rng.uniform(-4, 4)) for i, (lat, lon) in enumerate([(0, 179), (75, -177), (-88.9, 40), (34, -95), (0, -179)] * 40)]
+        points += [(900, 90.0, 10.0), (901, 89.9, -170.0), (902, 10.0, 180.0), (903, 10.1, -180.0), (904, -90.0, 0.0)]
+        want = {(a[0], b[0]) for a in points for b in points if miles(a, b) <= radius}
+        df = spark.createDataFrame(points, "a long, lat double, lon double")
+        got = [(r["a"], r["b"]) for r in joins.radius_join(df, df.withColumnRenamed("a", "b"), "lat", "lon", radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_closure_names_its_limit(spark):
+    from quillon.operators import graph
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "c long, p long")
+    assert graph.closure(chain, "c", "p", most=5).count() == 15
+    with pytest.raises(ValueError, match="levels"):
+        graph.closure(chain, "c", "p", most=3)
