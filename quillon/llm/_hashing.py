@@ -1,7 +1,8 @@
-"""Vectorised word spans and rolling fingerprints over UTF-8 buffers (NumPy)."""
+"""Vectorised word spans and fingerprints over UTF-8 buffers (NumPy)."""
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 
@@ -35,58 +36,102 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _base(seed: int) -> int:
-    return int(mix(np.array([seed * 2 + 0x51ED2701], _U))[0]) & ~7 | 5
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A fingerprint of two fingerprints in order; not linear, so that no pattern of texts cancels out."""
+    return mix(mix(a + _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93) + b)
+
+
+def runs_of(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of all runs of k symbols, by doubling: a run of 2n is a pair of runs of n; the last pair may overlap."""
+    h, n = symbols, 1
+    while n < k and len(h):
+        step = min(n, k - n)
+        h = combine(h[:-step], h[step:]) if len(h) > step else h[:0]
+        n += step
+    return h
+
+
+#: The prime 2**61 - 1. Texts that differ collide under a random base with a probability of their length / PRIME.
+PRIME = (1 << 61) - 1
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x below 2**64 modulo PRIME."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, by halves of 32 bits."""
+    half, part = _U(0xFFFFFFFF), _U((1 << 29) - 1)
+    a1, a0, b1, b0 = a >> _U(32), a & half, b >> _U(32), b & half
+    mid, low = a1 * b0 + a0 * b1, a0 * b0
+    return _fold(((a1 * b1) << _U(3)) + (mid >> _U(29)) + ((mid & part) << _U(32)) + (low & _U(PRIME)) + (low >> _U(61)))
 
 
 def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the seed's odd base modulo 2**64, and their inverses."""
+    """The first n powers of the seed's base modulo PRIME, and their inverses."""
     known = process_cache("powers")
     have = known.get(seed)
     if have is None or len(have[0]) < n:
-        size, b = 1 << max(16, int(n - 1).bit_length()), _base(seed)
+        size, base = 1 << max(10, int(n - 1).bit_length()), int(np.random.default_rng(7000 + seed).integers(1 << 32, PRIME))
         out = []
-        for x in (b, pow(b, -1, 1 << 64)):
-            a = np.full(size, x, _U)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
+        for b in (base, pow(base, -1, PRIME)):
+            a = np.ones(1, _U)
+            while len(a) < size:
+                a = np.concatenate([a, times(a, np.full(len(a), pow(b, len(a), PRIME), _U))])
+            out.append(a)
         have = known[seed] = tuple(out)
     return have[0][:n], have[1][:n]
 
 
-def prefix(symbols: np.ndarray, seed: int) -> np.ndarray:
-    """Prefix fingerprints of a sequence of 64-bit symbols, for ranges()."""
-    out = np.empty(len(symbols) + 1, _U)
-    out[0] = 0
-    np.cumsum(symbols * powers(len(symbols), seed)[0], out=out[1:])
-    return out
+def byte_fingerprints(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, longest: int, slice_bytes: int = 1 << 19) -> np.ndarray:
+    """64-bit fingerprints of buf[start:end], ranges of at most `longest` bytes whose starts ascend.
 
-
-def ranges(pre: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit fingerprints of symbols[start:end]."""
-    h = (pre[end] - pre[start]) * powers(len(pre), seed)[1][start]
-    return mix(h + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
-
-
-def byte_symbols(buf: np.ndarray, seed: int) -> np.ndarray:
-    """A random 64-bit symbol for each byte."""
-    known = process_cache("bytes")
-    if seed not in known:
-        known[seed] = np.random.default_rng(1000 + seed).integers(0, 2**64, 256, _U)
-    return known[seed][buf]
-
-
-def byte_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, slice_bytes: int = 1 << 19) -> np.ndarray:
-    """Fingerprints of buf[start:end] for sorted ranges that don't overlap, in slices to bound memory."""
+    A polynomial of the bytes modulo PRIME. Sums of bytes times both halves of the
+    powers stay below 2**64 in a slice, so only the ranges' own values are reduced;
+    slices overlap by `longest` and may cut a text anywhere.
+    """
     out, at = np.empty(len(start), _U), 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + slice_bytes, side="right")))
-        a, b = int(start[at]), int(end[to - 1])
-        out[at:to] = ranges(prefix(byte_symbols(buf[a:b], seed), seed), start[at:to] - a, end[at:to] - a, seed)
+        a = int(start[at])
+        to = int(np.searchsorted(start, a + slice_bytes))
+        part = buf[a : a + slice_bytes + longest].astype(_U) + _U(1)
+        power, inverse = powers(slice_bytes + longest + 1, seed)
+        s, e = start[at:to] - a, end[at:to] - a
+        sums = []
+        for half in (power & _U(0xFFFFFFFF), power >> _U(32)):
+            pre = np.zeros(len(part) + 1, _U)
+            np.cumsum(part * half[: len(part)], out=pre[1:])
+            sums.append(pre[e] - pre[s])
+        low, high = sums
+        h = _fold(_fold(low) + (high >> _U(29)) + ((high & _U((1 << 29) - 1)) << _U(32)))
+        out[at:to] = mix(times(h, inverse[s]) + (e - s).astype(_U) * _U(0x9E3779B97F4A7C15))
         at = to
     return out
 
 
+def distinct_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of ascending ranges that don't overlap: each one's number, and the distinct contents, compared byte by byte."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    a, b = int(starts[0]), int(ends[-1])
+    edge = np.zeros(b - a + 1, np.int8)
+    edge[starts - a] += 1
+    edge[ends - a] -= 1
+    data = buf[a:b][np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    offs = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def digests(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each value, as two 64-bit halves."""
+    raw = b"".join(hashlib.blake2b(v, digest_size=16).digest() for v in values)
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def text_buffer(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes on end, and the n + 1 offsets. A null text is empty."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

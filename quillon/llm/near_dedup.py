@@ -34,17 +34,20 @@ FEW = 1_000_000
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle fingerprints of all texts, sorted within each text, and n + 1 pointers."""
+    """Distinct shingles of all texts as 64-bit fingerprints, sorted within each text, and n + 1 pointers."""
     low = H.lower_ascii(buf)
     starts, ends, ptr = H.word_spans(low, offs)
-    word = H.byte_ranges(low, starts, ends, 0)
-    pre = H.prefix(word, 1)
+    which, values = H.distinct_ranges(low, starts, ends)
+    word = H.digests(values)[0][which]
     at, doc = H.windows(ptr, k)
     size = np.diff(ptr)
     short = np.flatnonzero((size > 0) & (size < k))
-    begin, end = np.concatenate([at, ptr[short]]), np.concatenate([at + k, ptr[short + 1]])
+    whole = np.zeros(len(short), np.uint64)  # a text of fewer than k words: all of them, in order, and their number
+    for i in range(k - 1):
+        more = size[short] > i
+        whole[more] = H.combine(whole[more], word[ptr[short[more]] + i])
+    h = np.concatenate([H.runs_of(word, k)[at], H.combine(whole, size[short].astype(np.uint64))])
     doc = np.concatenate([doc, short])
-    h = H.ranges(pre, begin, end, 1)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)

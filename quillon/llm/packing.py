@@ -87,12 +87,8 @@ class WordEncoder:
         if len(self.known) > _CACHED:
             self.clear()
         starts, ends, ptr = H.word_spans(buf, offs)
-        raw, size = buf.tobytes(), ends - starts
-        h = [H.byte_ranges(buf, starts, ends, s) for s in (0, 1)]
-        _, first, back = np.unique(h[0], return_index=True, return_inverse=True)
-        if ((h[1] != h[1][first][back]) | (size != size[first][back])).any():  # two words share a fingerprint
-            first, back = np.arange(len(starts)), np.arange(len(starts))
-        at = np.array([self.index(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)[back]
+        which, values = H.distinct_ranges(buf, starts, ends)
+        at = np.array([self.index(v) for v in values], np.int64)[which]
         begin, count = self.start[at], self.start[at + 1] - self.start[at]
         cum = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(begin - cum[:-1], count) + np.arange(cum[-1])]

@@ -33,12 +33,15 @@ def adjacent_repeats(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which items equal another of their document; which equal an earlier one."""
-    key = H.mix(h ^ H.mix(doc.astype(np.uint64) + np.uint64(1)))
+def _repeats(*items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of these columns equal another; which equal an earlier one. Rows are sorted by a hash and then compared in full."""
+    key = np.zeros(len(items[0]), np.uint64)
+    for c in items:
+        key = H.combine(key, c.astype(np.uint64))
     order = np.argsort(key, kind="stable")
     same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[order[1:]] == key[order[:-1]]
+    if len(key):
+        same[1:-1] = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in items])
     twice, later = np.empty(len(key), bool), np.empty(len(key), bool)
     twice[order], later[order] = same[:-1] | same[1:], same[:-1]
     return twice, later
@@ -49,15 +52,15 @@ def features(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, ptr = H.word_spans(buf, offs)
     n = len(offs) - 1
     lead = (buf & 0xC0) != 0x80
-    word = H.byte_ranges(buf, starts, ends, 0)
+    word, _ = H.distinct_ranges(buf, starts, ends)
     at, doc = H.windows(ptr, 3)
-    twice, _ = _repeats(H.ranges(H.prefix(word, 1), at, at + 3, 1), doc)
+    twice, _ = _repeats(doc, word[at], word[at + 1], word[at + 2])
     edge = np.zeros(len(starts) + 3, np.int64)
     np.add.at(edge, at[twice], 1)
     np.subtract.at(edge, at[twice] + 3, 1)
     covered = np.cumsum(edge)[: len(starts)] > 0
     word_doc = np.repeat(np.arange(n), np.diff(ptr))
-    _, later_word = _repeats(word, word_doc)
+    _, later_word = _repeats(word_doc, word)
     # Lines: cut at \n and at the texts' ends.
     newline = np.flatnonzero(buf == 10)
     begin = np.unique(np.concatenate([offs[:-1], newline + 1]))
@@ -67,7 +70,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     full = np.searchsorted(starts, stop) > np.searchsorted(starts, begin)
     begin, stop = begin[full], stop[full]
     line_doc = np.searchsorted(offs, begin, side="right") - 1
-    _, later_line = _repeats(H.byte_ranges(buf, begin, stop, 3), line_doc)
+    _, later_line = _repeats(line_doc, H.distinct_ranges(buf, begin, stop)[0])
     upper, lower = (buf >= 65) & (buf <= 90), (buf >= 97) & (buf <= 122)
     last = np.isin(buf[ends - 1], np.frombuffer(b".!?", np.uint8)) if len(ends) else np.zeros(0, bool)
     at_text = lambda mask: _per_text(mask, ptr)

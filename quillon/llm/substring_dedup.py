@@ -48,11 +48,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "do
         buf, offs = H.text_buffer(table.column("text"))
         starts, ends, ptr = H.word_spans(buf, offs)
         at, doc = H.windows(ptr, window)
-        out = []
-        for seed in (0, 1) if wide else (0,):
-            word = H.byte_ranges(buf, starts, ends, seed)
-            out.append(H.ranges(H.prefix(word, seed + 2), at, at + window, seed + 2))
-        return buf, offs, ptr, at, doc, out
+        which, values = H.distinct_ranges(buf, starts, ends)
+        halves = H.digests(values)[: 2 if wide else 1]
+        return buf, offs, ptr, at, doc, [H.runs_of(h[which], window)[at] for h in halves]
 
     def sketch_of(h):
         slot, back = np.unique(h >> np.uint64(64 - slots), return_inverse=True)

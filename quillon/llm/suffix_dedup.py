@@ -2,18 +2,22 @@
 
 Suffixes are sampled where the text itself says so: at q-grams whose fingerprint
 falls in one class of `sample`. The initial buckets hold the sampled suffixes that
-agree up to the next sample (their phrase). A bucket with one member is final. The
-others are refined by the bucket identifiers at later samples: a string of `length`
-bytes spans a run of whole phrases, and its bucket at that depth is the sequence
-of their identifiers, reused from the round before; runs that stay alone are final
-again. What is left differs, if at all, in the ends that stick out of the run. Runs
-whose ends agree too are repeated as a whole; only where one run has several
-different ends are the strings themselves compared, offset by offset.
-
-Identifiers are fingerprints (64 bits to refine, 128 to decide), so that a bucket
-can be refined without renumbering all others. Strings without a sample go
-straight to the last comparison. Buckets are ranges of identifiers; a block of
-documents asks about each distinct identifier once.
+agree up to the next sample (their phrase). Buckets are then refined in rounds: a
+suffix's bucket at depth 2d is the pair of its bucket at depth d and the bucket, at
+depth d, of the suffix d samples later, so that each round reuses the identifiers
+that the round before has updated and doubles the depth. The pairs are sorted over
+all documents; a bucket with one member is final and takes no part in later rounds.
+
+A string of `length` bytes spans a run of whole phrases, whose bucket is the chain of
+those of the greatest depth that it holds. Runs in a bucket of their own are final.
+What is left differs, if at all, in the ends that stick out of the run. Runs whose
+ends agree too are repeated as a whole; only where one run has several different
+ends are the strings themselves compared, offset by offset.
+
+Identifiers are fingerprints (64 bits to refine, 122 bits modulo a prime to decide),
+so that a bucket is refined without renumbering all others. Strings without a sample
+go straight to the last comparison. A block of documents asks about each distinct
+identifier once.
 """
 
 from __future__ import annotations
@@ -34,33 +38,13 @@ _SLICE = 1 << 19
 _FAR = 1 << 60
 
 
-def _slices(offs: np.ndarray):
-    """Runs of whole texts of about _SLICE bytes: (first byte, last byte)."""
-    at, n = 0, len(offs) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + _SLICE, side="right")) - 1)
-        yield int(offs[at]), int(offs[to])
-        at = to
-
-
-def _fingerprints(buf: np.ndarray, offs: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Fingerprints of buf[start:end], each inside one text; start ascends."""
-    out = np.empty(len(start), np.uint64)
-    for a, b in _slices(offs):
-        i, j = np.searchsorted(start, [a, b])
-        if j > i:
-            pre = H.prefix(H.byte_symbols(buf[a:b], seed), seed)
-            out[i:j] = H.ranges(pre, start[i:j] - a, end[i:j] - a, seed)
-    return out
-
-
 def _samples(buf: np.ndarray, offs: np.ndarray, one_in: int) -> np.ndarray:
     """Positions of sampled q-grams; whether one is sampled depends on its own bytes alone."""
     shift, found = np.uint64(64 - int(math.log2(one_in))), []
-    for a, b in _slices(offs):
-        if b - a >= GRAM:
-            grams = np.ndarray((b - a - GRAM + 1,), "<u8", np.ascontiguousarray(buf[a:b]), strides=(1,))
-            found.append(np.flatnonzero((grams * np.uint64(0x9E3779B97F4A7C15)) >> shift == 0) + a)
+    for a in range(0, len(buf) - GRAM + 1, _SLICE):
+        part = np.ascontiguousarray(buf[a : a + _SLICE + GRAM - 1])
+        grams = np.ndarray((len(part) - GRAM + 1,), "<u8", part, strides=(1,))
+        found.append(np.flatnonzero((grams * np.uint64(0x9E3779B97F4A7C15)) >> shift == 0) + a)
     x = np.concatenate(found) if found else np.zeros(0, np.int64)
     return x[x + GRAM <= offs[np.searchsorted(offs, x, side="right")]] if len(x) else x
 
@@ -85,30 +69,50 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
     base, n_blocks, total = B.sized(docs, id_col, text_col)
     inner = length - GRAM
     bits = min(64, math.ceil(math.log2(max(total // sample, 2))) + 20)
+    shift = np.uint64(64 - bits)
+    #: Depths 1, 2, 4 ... of refinement: from half the phrases that a string spans on average, two overlapping buckets cover it.
+    rounds = 1 + max(0, int(math.log2(max(1, inner / sample))))
     n_phrase, n_run, n_string = B.buckets(total / sample, n_blocks), B.buckets(total / sample, n_blocks), B.buckets(total / 20, n_blocks)
 
-    def sampled(table):
+    def refined(table, reply, upto):
+        """Samples, each finished round's buckets (identifiers, and which have other members), and the distinct identifiers of round `upto`."""
         buf, offs = H.text_buffer(table.column("text"))
         x = _samples(buf, offs, sample)
         doc = np.searchsorted(offs, x, side="right") - 1
-        whole = np.zeros(len(x), bool)  # samples with a next one in the same text
-        whole[:-1] = doc[1:] == doc[:-1]
-        k = np.flatnonzero(whole)
-        phrase = np.zeros(len(x), np.uint64)
-        phrase[k] = _fingerprints(buf, offs, x[k], x[k + 1] + GRAM, 0)
-        short, back, count = np.unique(phrase[k] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        return buf, offs, x, doc, k, phrase, short, back, count, B.bucket_bounds(short << np.uint64(64 - bits), n_phrase)
-
-    def ask_phrases(key, table):
-        *_, short, _, count, cut = sampled(table)
-        return B.sketch_rows(key[0].as_py(), 0, short, count, cut)
+        held = np.flatnonzero(doc[1:] == doc[:-1])  # samples with a next one in the same text
+        identifier = np.zeros(len(x), np.uint64)
+        # A phrase longer than a string is of no use: its head stands for it.
+        identifier[held] = H.byte_fingerprints(buf, x[held], np.minimum(x[held + 1] + GRAM, x[held] + length), 0, length)
+        done, step = [], 1
+        for now in range(rounds):
+            short, back, count = np.unique(identifier[held] >> shift, return_inverse=True, return_counts=True)
+            cut = B.bucket_bounds(short << shift, n_phrase)
+            if now == upto:
+                return buf, offs, x, doc, done, (short, count, cut)
+            shared = np.zeros(len(x), bool)
+            if len(held):
+                shared[held] = B.bits(B.replies(reply, now), np.diff(cut))[back]
+            done.append((identifier, shared))
+            # The next round refines a bucket by the bucket at a later offset: both are of this depth, and both have other members.
+            held = np.flatnonzero(shared)
+            held = held[held + step < len(x)]
+            held = held[shared[held + step]]
+            held = held[x[held + 2 * step] - x[held] <= inner]
+            deeper = np.zeros(len(x), np.uint64)
+            deeper[held] = H.combine(identifier[held], identifier[held + step])
+            identifier, step = deeper, 2 * step
+        return buf, offs, x, doc, done, None
+
+    def ask_buckets(upto):
+        def ask(key, table, reply=None):
+            *_, (short, count, cut) = refined(table, reply, upto)
+            return B.sketch_rows(key[0].as_py(), upto, short, count, cut)
+
+        return (lambda key, table: ask(key, table)) if upto == 0 else lambda key, table, reply: ask(key, table, reply)
 
     def runs(table, reply):
         """Candidate runs (first and last sample, offsets before the first), and their identifiers grouped."""
-        buf, offs, x, doc, k, phrase, _, back, _, cut = sampled(table)
-        alive = np.zeros(len(x), bool)
-        if len(k):
-            alive[k] = B.bits(B.replies(reply, 0), np.diff(cut))[back]
+        buf, offs, x, doc, done, _ = refined(table, reply, rounds)
         begin, stop = offs[doc], offs[doc + 1]
         last = np.searchsorted(doc, doc, side="right") - 1
         before = np.where(np.concatenate([[False], doc[1:] == doc[:-1]])[: len(x)], np.concatenate([[0], x[:-1]])[: len(x)], begin - 1)
@@ -120,19 +124,30 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
         j, i = _expand(low, high)
         s_low = np.maximum(np.maximum(x[i] + inner - after[j] + 1, x[i] + length - stop[i]), 0)
         s_high = np.minimum(most[i], x[i] + inner - x[j])
-        living = np.concatenate([[0], np.cumsum(alive)])
-        ok = (s_low <= s_high) & (living[j] - living[i] == j - i)
-        i, j, s_low, s_high = i[ok], j[ok], s_low[ok], s_high[ok]
-        # A bucket at this depth: the identifiers of its phrases, after the first sample's own gram.
-        gram = _fingerprints(buf, offs, x[i], x[i] + GRAM, 4)
-        run = H.mix(H.ranges(H.prefix(phrase, 5), i, j, 5) ^ gram)
+        ok, run = s_low <= s_high, np.zeros(len(i), np.uint64)
+        for r, (identifier, shared) in enumerate(done):
+            depth, living = 1 << r, np.concatenate([[0], np.cumsum(shared)])
+            mine = np.flatnonzero(ok & (j - i >= depth) & ((j - i < 2 * depth) | (r == rounds - 1)))
+            # A run is a chain of buckets of the greatest depth that it holds; each of them needs other members.
+            a, b = i[mine], j[mine] - depth
+            whole = living[b + 1] - living[a] == b + 1 - a
+            ok[mine[~whole]] = False
+            mine, at, b = mine[whole], a[whole], b[whole]
+            chain = identifier[at]
+            while (more := at + depth < b).any():
+                at = np.where(more, at + depth, at)
+                chain = np.where(more, H.combine(chain, identifier[at]), chain)
+            run[mine] = H.combine(chain, identifier[b])
+        i, j, s_low, s_high, run = i[ok], j[ok], s_low[ok], s_high[ok], run[ok]
+        gram = H.byte_fingerprints(buf, x[i], x[i] + GRAM, 4, GRAM)
+        run = H.combine(H.combine(run, gram), (j - i).astype(np.uint64))
         start, end = x[i] - s_high, x[i] - s_low + length
         order = np.argsort(start, kind="stable")
-        i, run, s_low, s_high, start, end = (a[order] for a in (i, run, s_low, s_high, start, end))
+        run, s_low, s_high, start, end = (a[order] for a in (run, s_low, s_high, start, end))
         exact = []
         for seed in (0, 1):
-            h = _fingerprints(buf, offs, start, end, seed)
-            exact.append(H.mix(h ^ H.mix((s_low * 1024 + s_high).astype(np.uint64))))
+            h = H.byte_fingerprints(buf, start, end, seed, length + inner)
+            exact.append(H.combine(h, (s_low * 1024 + s_high).astype(np.uint64)))
         first, group, size = B.grouped(run, *exact)
         return buf, offs, x, doc, (start, end, s_high - s_low), (run[first], exact[0][first], exact[1][first]), first, group, size
 
@@ -143,7 +158,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
             s = slice(cut[b], cut[b + 1])
             if cut[b + 1] > cut[b]:
                 out.append((b, B.join(run[s].tobytes(), e0[s].tobytes(), e1[s].tobytes(), np.packbits(size[s] > 1).tobytes())))
-        return B.rows(key[0].as_py(), 1, out)
+        return B.rows(key[0].as_py(), rounds, out)
 
     def refine(table):
         """0: alone. 1: repeated with its ends. 2: the run is repeated with other ends. 3: as 1, and the one that shows its strings to those of 2."""
@@ -165,7 +180,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
     def strings(table, reply):
         """Covered ranges known so far, and the single strings still to be compared."""
         buf, offs, x, doc, (start, end, spread), (run, *_), first, group, _ = runs(table, reply)
-        got = dict(B.replies(reply, 1))
+        got = dict(B.replies(reply, rounds))
         cut = B.bucket_bounds(run, n_run)
         code = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(got[b], np.uint8) for b in range(n_run) if cut[b + 1] > cut[b])])
         mine = code[group] if len(group) else np.zeros(0, np.uint8)
@@ -182,7 +197,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
         after[np.append(text[1:] != text[:-1], True)] = _FAR
         bare, _ = _expand(edge + 1, np.minimum(after - inner - 1, offs[text + 1] - length))
         p = np.sort(np.concatenate([p, bare]))
-        h = [_fingerprints(buf, offs, p, p + length, seed) for seed in (2, 3)]
+        h = [H.byte_fingerprints(buf, p, p + length, seed, length) for seed in (2, 3)]
         one, back, size = B.grouped(*h)
         return buf, offs, (start[known], end[known]), p, (h[0][one], h[1][one]), back, size
 
@@ -193,7 +208,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
             s = slice(cut[b], cut[b + 1])
             if cut[b + 1] > cut[b]:
                 out.append((b, B.join(h0[s].tobytes(), h1[s].tobytes(), np.packbits(size[s] > 1).tobytes())))
-        return B.rows(key[0].as_py(), 2, out)
+        return B.rows(key[0].as_py(), rounds + 1, out)
 
     def compare(table):
         parts = [B.split(p) for p in table.column("payload").to_pylist()]
@@ -206,7 +221,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
 
     def cut_out(key, table, reply):
         buf, offs, (start, end), p, (h0, _), back, _ = strings(table, reply)
-        twice = B.bits(B.replies(reply, 2), np.diff(B.bucket_bounds(h0, n_string)))[back] if len(p) else np.zeros(0, bool)
+        twice = B.bits(B.replies(reply, rounds + 1), np.diff(B.bucket_bounds(h0, n_string)))[back] if len(p) else np.zeros(0, bool)
         edge = np.zeros(len(buf) + 1, np.int32)
         np.add.at(edge, np.concatenate([start, p[twice]]), 1)
         np.subtract.at(edge, np.concatenate([end, p[twice] + length]), 1)
@@ -226,8 +241,10 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
 
     blocks = base.groupBy("block")
     by_bucket = lambda df, f: df.groupBy("bucket").applyInArrow(f, B.PAYLOAD)
-    phrases = by_bucket(blocks.applyInArrow(ask_phrases, B.PAYLOAD), B.merge_sketches)
-    refined = by_bucket(blocks.cogroup(phrases.groupBy("block")).applyInArrow(ask_runs, B.PAYLOAD), refine)
-    known = phrases.unionByName(refined)
-    compared = by_bucket(blocks.cogroup(known.groupBy("block")).applyInArrow(ask_strings, B.PAYLOAD), compare)
-    return blocks.cogroup(known.unionByName(compared).groupBy("block")).applyInArrow(cut_out, OUT + (", kept_bytes binary" if with_text else ""))
+    known = by_bucket(blocks.applyInArrow(ask_buckets(0), B.PAYLOAD), B.merge_sketches)
+    ask = lambda f: blocks.cogroup(known.groupBy("block")).applyInArrow(f, B.PAYLOAD)
+    for r in range(1, rounds):
+        known = known.unionByName(by_bucket(ask(ask_buckets(r)), B.merge_sketches))
+    known = known.unionByName(by_bucket(ask(ask_runs), refine))
+    known = known.unionByName(by_bucket(ask(ask_strings), compare))
+    return blocks.cogroup(known.groupBy("block")).applyInArrow(cut_out, OUT + (", kept_bytes binary" if with_text else ""))
