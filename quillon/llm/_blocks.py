@@ -101,16 +101,37 @@ def unpack_gaps(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.array([first], np.uint64), gaps]), dtype=np.uint64)
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted integers that may repeat: a gap code of the distinct ones, and which come again."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    again = np.flatnonzero(~new).astype(np.int64).tobytes()
+    return len(again).to_bytes(8, "little") + again + pack_gaps(values[new])
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    again, values = np.frombuffer(raw, np.int64, n // 8, 8), unpack_gaps(raw[8 + n :])
+    new = np.ones(len(values) + len(again), bool)
+    new[again] = False
+    return values[np.cumsum(new) - 1]
+
+
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts of a byte each, with a longer form from 255 on."""
-    big = np.flatnonzero(counts >= 255)
-    return np.array([len(big)], np.int64).tobytes() + counts[big].astype(np.int64).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Counts of two bits each, with longer forms from 3 and from 255 on."""
+    some, big = counts[counts >= 3], counts[counts >= 255]
+    small = np.minimum(np.append(counts, np.zeros(-len(counts) % 4, counts.dtype)), 3).astype(np.uint8).reshape(-1, 4)
+    quads = small[:, 0] | small[:, 1] << 2 | small[:, 2] << 4 | small[:, 3] << 6
+    return np.array([len(counts), len(some), len(big)], np.int64).tobytes() + big.astype(np.int64).tobytes() + np.minimum(some, 255).astype(np.uint8).tobytes() + quads.astype(np.uint8).tobytes()
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    big = int(np.frombuffer(raw, np.int64, 1)[0])
-    out = np.frombuffer(raw, np.uint8, offset=8 + 8 * big).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, np.int64, big, 8)
+    n, some, big = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+    more = np.frombuffer(raw, np.uint8, some, 24 + 8 * big).astype(np.int64)
+    more[more == 255] = np.frombuffer(raw, np.int64, big, 24)
+    quads = np.frombuffer(raw, np.uint8, offset=24 + 8 * big + some)
+    out = (quads[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(-1)[:n].astype(np.int64)
+    out[out == 3] = more
     return out
 
 

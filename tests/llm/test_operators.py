@@ -267,24 +267,56 @@ def test_near_large_nodes_without_pivots(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df).collect()} == want
 
 
-def test_language_model(docs, rows, none):
+class PlainAutomaton:
+    """States, arcs and failure arcs in dictionaries; read one token at a time."""
+
+    def __init__(self, texts, mass):
+        self.mass, self.order, self.c = mass, len(mass) + 1, collections.Counter()
+        for t in texts:
+            s = ["<s>", *t]
+            for k in range(1, self.order + 1):
+                self.c.update(tuple(s[i : i + k]) for i in range(len(s) - k + 1))
+        self.words = {g[0] for g in self.c if len(g) == 1} - {"<s>"}
+        self.n = sum(self.c[w,] for w in self.words)
+
+    def p0(self, w):
+        return (self.c[w,] * (w != "<s>") + 0.5) / (self.n + 0.5 * (len(self.words) + 1))
+
+    def p(self, state, w):
+        if not state:
+            return self.p0(w)
+        m = self.mass[len(state) - 1]
+        return (self.c[*state, w] + m * self.p(state[1:], w)) / (self.c[state] + m)
+
+    def read(self, t):
+        state, total = ("<s>",)[: self.order - 1], 0.0
+        for w in t:
+            while state and not self.c[*state, w]:
+                m = self.mass[len(state) - 1]
+                total += math.log10(m / (self.c[state] + m))
+                state = state[1:]
+            total += math.log10(self.p(state, w))
+            state = (*state, w)[-(self.order - 1) :] if self.order > 1 else ()
+            if state and not self.c[state]:
+                state = ()
+        return total
+
+
+@pytest.mark.parametrize("mass", [(60.0, 30.0), (5.0,), (), (3.0, 2.0, 1.0)])
+def test_language_model(docs, rows, none, mass, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LANE", 16)
     tok = [[*words(low(r[1])), None] for r in rows]
     train = [zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 != 1 for r in rows]
-    c = collections.Counter(w for t, ok in zip(tok, train, strict=True) if ok for w in t)
-    pairs = collections.Counter(p for t, ok in zip(tok, train, strict=True) if ok for p in zip(["", *t], t, strict=False))
-    n, v, mass = sum(c.values()), len(c), 60.0
-    p0 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    model = PlainAutomaton([t for t, ok in zip(tok, train, strict=True) if ok], mass)
     want = []
     for r, t, ok in zip(rows, tok, train, strict=True):
-        state = 0.0
-        for a, b in zip(["", *t], t, strict=False):  # the automaton, one text at a time
-            seen = c[None] if a == "" else c[a]
-            back = mass / (seen + mass)
-            state += math.log10(pairs[a, b] / (seen + mass) + back * p0(b))
-        want.append((r[0], not ok, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10(p0(w)) for w in t), 6), round(state, 6)))
-    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_scoring.score(docs).collect()]
+        want.append((r[0], not ok, len(t), sum(w in model.words for w in t), model.n, round(sum(math.log10(model.p0(w)) for w in t), 6), round(model.read(t), 6)))
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm_scoring.score(docs, mass=mass).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert lm_scoring.score(none).count() == 0
+    if mass == (60.0, 30.0):
+        assert lm_scoring.score(none).count() == 0
+        for state in [(), ("<s>",), *[g for g in model.c if len(g) == 2 and g[-1]][:5]]:  # all known words and one never met
+            assert sum(model.p(state, w) for w in [*model.words, "never met"]) == pytest.approx(1)
 
 
 def test_packing(docs, rows, none):
@@ -335,5 +367,49 @@ def test_gap_codes():
     for v in ([], [5], [1, 2, 3, 1 << 40], sorted({int(x) for x in np.random.default_rng(3).integers(0, 1 << 62, 1000)})):
         a = np.array(v, np.uint64)
         assert B.unpack_gaps(B.pack_gaps(a)).tolist() == a.tolist()
-    c = np.array([0, 1, 254, 255, 256, 10**9])
-    assert B.unpack_counts(B.pack_counts(c)).tolist() == c.tolist()
+        a = np.repeat(a, np.arange(len(a)) % 3 + 1)
+        assert B.unpack_sorted(B.pack_sorted(a)).tolist() == a.tolist()
+    for c in ([0, 1, 2, 3, 254, 255, 256, 10**9], [], [1], [7, 0, 0, 0, 3]):
+        assert B.unpack_counts(B.pack_counts(np.array(c, np.int64))).tolist() == c
+
+
+def opposite_texts(n=2048):
+    """Thue-Morse strings of a and b: for polynomials modulo a power of two, a string and its opposite collide."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_opposite_texts(spark):
+    """Texts made to collide under rolling fingerprints are told apart by every operator."""
+    one, two = opposite_texts()
+    texts = [" ".join([*(f"w{i}" for i in range(12)), x]) for x in (one, two)]
+    texts += [f"p q r s {x}" for x in (one, two)] + [f"{one}\n{two}\n{one} {two} {one}", one, two]
+    texts += [" ".join({"a": "left", "b": "right"}[c] for c in x) for x in (one, two)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    by = lambda out, c: {r["doc_id"]: r[c] for r in out.collect()}
+    removed = by(substring_dedup.remove_repeated_windows(df.filter("doc_id < 7")), "n_removed")
+    assert not any(removed.values())
+    seen = collections.Counter(t.encode()[p : p + 400] for t in texts for p in range(len(t.encode()) - 399))
+    got = by(suffix_dedup.remove_repeated_strings(df), "n_removed")
+    for d, t in enumerate(texts):
+        t, gone = t.encode(), set()
+        for p in range(len(t) - 399):
+            if seen[t[p : p + 400]] > 1:
+                gone |= set(range(p, p + 400))
+        assert got[d] == len(gone), d
+    rules = quality_rules.judge(df).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rules) == collections.Counter((r[0], *base(r[1])) for r in rows)
+    assert by(near_dedup.near_groups(df), "component_id") == near_components([r[:2] for r in rows])
+    assert by(near_dedup.near_groups(df), "n_shingles") == {r[0]: len(shingles(r[1])) for r in rows}
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    lm = spark.createDataFrame([(held, two), (held + 1, one), (held + 2, one)], "doc_id long, text string")
+    assert zlib.crc32(str(held + 1).encode()) % 5 != 1
+    assert by(lm_scoring.score(lm), "n_known")[held] == 1
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    crc = lambda x: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert by(packing.pack(df, path, size=1 << 16, open_windows=4), "ids_crc32") == {r[0]: crc(r[1]) for r in rows}
