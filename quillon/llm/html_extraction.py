@@ -1,17 +1,20 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Each distinct page of a host is aligned with a
-reference page of that host by simple tree matching (Yang 1991): the largest
-order-preserving matching of their DOM trees. Nodes of the reference whose aligned
-text is the same on most pages are constant and become the template; varying slots
-are content. What the page itself declares (article, menus, forms, adverts and so
-on) bounds the slots, and alone decides for hosts with too few pages to align.
+Pages of one host share a template. Each distinct page of a host is aligned, by
+simple tree matching (Yang 1991: the largest matching of two DOM trees that keeps
+order and levels), with a reference page of the host and with one of its own layout.
+Blocks of the reference that aligned pages repeat are constant and become the
+template; the varying slots are content. What the page itself declares (article,
+menus, forms, adverts and so on) bounds the slots, since menus and adverts vary too.
+
+Each page is parsed once. Blocks that may be content travel on, html doesn't.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,14 +39,23 @@ _PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dia
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+#: Cells of a table that a matching keeps at once; larger ones are halved until they fit.
+TABLE = 1 << 20
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
 class _Tree(HTMLParser):
     """A lenient DOM: elements in page order, and the blocks of text with their elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents = ["#root"], [-1]
+        self.tags, self.parents, self.paths, self.depths = ["#root"], [-1], [b""], [0]
         self.dropped, self.in_article, self.in_main = [False], [False], [False]
         self.stack = [0]
+        self.open: Counter[str] = Counter()
         self.run: list[str] = []
         self.blocks: list[tuple[int, str]] = []
 
@@ -56,28 +68,36 @@ class _Tree(HTMLParser):
                 self.blocks.append((at, text))
 
     def close_to(self, depth: int):
+        self.open.subtract(self.tags[i] for i in self.stack[depth:])
         del self.stack[depth:]
 
+    def close_implied(self, tag: str):
+        """Close what an element of this tag ends without saying so."""
+        if tag in _PARAGRAPH_ENDS and self.open["p"]:
+            depth = len(self.stack) - 1
+            while self.tags[self.stack[depth]] in INLINE:
+                depth -= 1
+            if self.tags[self.stack[depth]] == "p":
+                self.close_to(depth)
+        elif tag in _CLOSES:
+            ends, scope = _CLOSES[tag]
+            if any(self.open[e] for e in ends):
+                for depth in range(len(self.stack) - 1, 0, -1):
+                    name = self.tags[self.stack[depth]]
+                    if name in ends:
+                        self.close_to(depth)
+                        if tag != "tr":
+                            break
+                    elif name in scope:
+                        break
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.run.append(" ")
             return
         if tag not in INLINE:
             self.flush()
-            names = [self.tags[i] for i in self.stack]
-            if tag in _PARAGRAPH_ENDS and "p" in names:
-                depth = len(names) - 1 - names[::-1].index("p")
-                if all(n in INLINE for n in names[depth + 1 :]):
-                    self.close_to(depth)
-            elif tag in _CLOSES:
-                ends, scope = _CLOSES[tag]
-                for depth in range(len(names) - 1, 0, -1):
-                    if names[depth] in ends:
-                        self.close_to(depth)
-                        if tag != "tr":
-                            break
-                    elif names[depth] in scope:
-                        break
+            self.close_implied(tag)
         top = self.stack[-1]
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemtype")).lower()
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
@@ -87,20 +107,25 @@ class _Tree(HTMLParser):
             bad = True
         self.tags.append(tag)
         self.parents.append(top)
+        self.depths.append(self.depths[top] + 1)
+        self.paths.append(hashlib.blake2b(self.paths[top] + tag.encode(), digest_size=8).digest())
         self.dropped.append(self.dropped[top] or bad)
         self.in_article.append(article)
-        self.in_main.append(self.in_main[top] or tag == "main" or "role" in dict(attrs) and dict(attrs)["role"] == "main")
+        self.in_main.append(self.in_main[top] or tag == "main" or dict(attrs).get("role") == "main")
         if tag not in VOID:
             self.stack.append(len(self.tags) - 1)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.stack[-1] == len(self.tags) - 1 and tag in ("svg", "path"):
-            self.stack.pop()
+            self.close_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
+        if not self.open[tag]:
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.tags[self.stack[depth]] == tag:
                 self.close_to(depth)
@@ -112,6 +137,10 @@ class _Tree(HTMLParser):
         if self.tags[self.stack[-1]] not in ("script", "style"):
             self.run.append(data)
 
+    def fingerprint(self, at: int, text: str) -> int:
+        """Of a block's place and text."""
+        return _hash(self.paths[at], text.encode())
+
 
 def parse(html: str) -> _Tree:
     tree = _Tree()
@@ -121,142 +150,245 @@ def parse(html: str) -> _Tree:
     return tree
 
 
-def _path(tree: _Tree, at: int) -> str:
-    names = []
-    while at > 0:
-        names.append(tree.tags[at])
-        at = tree.parents[at]
-    return "/".join(reversed(names))
-
-
-def fingerprint(path: str, text: str) -> int:
-    """Of a block's place and text."""
-    raw = f"{path}\n{text}".encode()
-    return (zlib.crc32(raw) << 31) ^ zlib.crc32(raw[::-1])
-
-
-def skeleton(tree: _Tree) -> tuple[list[int], list[int], list[int]]:
-    """Parents, tag codes and text fingerprints of the tree's block elements, in page order."""
-    keep = [i for i, t in enumerate(tree.tags) if t not in INLINE or i == 0]
-    place = {old: new for new, old in enumerate(keep)}
-    text = [0] * len(keep)
+def skeleton(tree: _Tree) -> tuple[list[int], list[int], list[list[int]]]:
+    """Parents, tag codes and the blocks' fingerprints of the tree's block elements, in page order."""
+    place, parents, tags = {0: 0}, [-1], [0]
+    own = [0] * len(tree.tags)  # the block element that each element stands in
+    for i in range(1, len(tree.tags)):
+        own[i] = own[tree.parents[i]]
+        if tree.tags[i] not in INLINE:
+            place[i] = len(parents)
+            parents.append(own[i])
+            tags.append(_hash(tree.tags[i].encode()) & 0x7FFFFFFF)
+            own[i] = place[i]
+    texts: list[list[int]] = [[] for _ in parents]
     for at, block in tree.blocks:
-        text[place[at]] ^= fingerprint(_path(tree, at), block)
+        texts[place[at]].append(tree.fingerprint(at, block))
+    return parents, tags, texts
+
 
-    def up(i):
-        i = tree.parents[i]
-        while i not in place and i >= 0:
-            i = tree.parents[i]
-        return place.get(i, -1)
+def layout(tree: _Tree, levels: int = 4) -> int:
+    """Of the paths of the block elements in a page's upper levels, however often each occurs."""
+    return _hash(*sorted({p for p, d, t in zip(tree.paths, tree.depths, tree.tags, strict=True) if d <= levels and t not in INLINE}))
 
-    return [up(i) for i in keep], [zlib.crc32(tree.tags[i].encode()) & 0x7FFFFFFF for i in keep], text
 
+class _Shapes:
+    """Subtrees by shape: equal ones (tags and order) are one number, in both trees alike."""
 
-def _children(parents: list[int]) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in parents]
-    for i, p in enumerate(parents):
-        if p >= 0:
-            out[p].append(i)
-    return out
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.tag: list[int] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+
+    def of(self, parents: list[int], tags: list[int]) -> tuple[list[int], list[list[int]]]:
+        """Each node's shape and children; parents come before their children."""
+        children: list[list[int]] = [[] for _ in parents]
+        for i, p in enumerate(parents):
+            if p >= 0:
+                children[p].append(i)
+        shape = [0] * len(parents)
+        for i in range(len(parents) - 1, -1, -1):
+            key = (tags[i], tuple(shape[c] for c in children[i]))
+            if key not in self.known:
+                self.known[key] = len(self.tag)
+                self.tag.append(key[0])
+                self.kids.append(key[1])
+                self.size.append(1 + sum(self.size[c] for c in key[1]))
+            shape[i] = self.known[key]
+        return shape, children
+
+
+def _trim(a, b) -> tuple[int, int]:
+    """How many equal items two lists begin and end with. Matching those is always best."""
+    n, head, tail = min(len(a), len(b)), 0, 0
+    while head < n and a[head] == b[head]:
+        head += 1
+    while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return head, tail
+
+
+class _Matching:
+    """Weights of the best matchings of shapes, each computed once."""
+
+    def __init__(self, shapes: _Shapes):
+        self.s, self.known = shapes, {}
+
+    def settled(self, a: int, b: int) -> float | None:
+        s = self.s
+        if s.tag[a] != s.tag[b]:
+            return 0.0
+        if a == b:
+            return float(s.size[a])
+        if not s.kids[a] or not s.kids[b]:
+            return 1.0
+        return self.known.get((a, b))
+
+    def middle(self, a: int, b: int):
+        ka, kb = self.s.kids[a], self.s.kids[b]
+        head, tail = _trim(ka, kb)
+        return ka[head : len(ka) - tail], kb[head : len(kb) - tail], sum(self.s.size[x] for x in (*ka[:head], *ka[len(ka) - tail :]))
+
+    def weigh(self, a: int, b: int) -> None:
+        """Fill in the weight of two shapes and all that it depends on, deepest first, without recursion."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo[-1]
+            if self.settled(a, b) is not None:
+                todo.pop()
+                continue
+            ka, kb, equal = self.middle(a, b)
+            other = dict.fromkeys(kb)
+            lack = [(x, y) for x in dict.fromkeys(ka) for y in other if self.settled(x, y) is None]
+            if lack:
+                todo += lack
+                continue
+            self.known[a, b] = 1.0 + equal + (self.rows(ka, kb)[-1] if ka and kb else 0.0)
+            todo.pop()
+
+    def row(self, x: int, kb) -> np.ndarray:
+        weight = {y: self.settled(x, y) for y in dict.fromkeys(kb)}
+        return np.array([weight[y] for y in kb])
+
+    def rows(self, ka, kb, table: bool = False):
+        """The best weight of ka with each head of kb; with table, of each head of ka too."""
+        now, kept, cache = np.zeros(len(kb) + 1), [], {}
+        for x in ka:
+            if table:
+                kept.append(now)
+            if x not in cache:
+                if len(cache) * len(kb) > TABLE:
+                    cache.clear()
+                cache[x] = self.row(x, kb)
+            best = np.maximum(now[1:], now[:-1] + cache[x])
+            now = np.concatenate([now[:1], np.maximum.accumulate(best)])
+        return np.stack([*kept, now]) if table else now
+
+    def pairs(self, ka, kb) -> list[tuple[int, int]]:
+        """Indices of matched items of two lists of shapes, in memory bounded by TABLE and the lists' length."""
+        out, todo = [], [(0, len(ka), 0, len(kb))]
+        while todo:
+            a0, a1, b0, b1 = todo.pop()
+            head, tail = _trim(ka[a0:a1], kb[b0:b1])
+            out += [(a0 + k, b0 + k) for k in range(head)] + [(a1 - 1 - k, b1 - 1 - k) for k in range(tail)]
+            a0, a1, b0, b1 = a0 + head, a1 - tail, b0 + head, b1 - tail
+            if a0 == a1 or b0 == b1:
+                continue
+            if (a1 - a0 + 1) * (b1 - b0 + 1) > TABLE and a1 - a0 > 1:  # halve one list, and cut the other where both halves do best (Hirschberg 1975)
+                mid = (a0 + a1) // 2
+                left, right = self.rows(ka[a0:mid], kb[b0:b1]), self.rows(ka[mid:a1][::-1], kb[b0:b1][::-1])[::-1]
+                cut = b0 + int((left + right).argmax())
+                todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+                continue
+            m, x, y = self.rows(ka[a0:a1], kb[b0:b1], table=True), a1 - a0, b1 - b0
+            while x and y:
+                if m[x, y] == m[x - 1, y]:
+                    x -= 1
+                elif m[x, y] == m[x, y - 1]:
+                    y -= 1
+                else:
+                    x, y = x - 1, y - 1
+                    out.append((a0 + x, b0 + y))
+        return out
 
 
 def simple_tree_matching(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
     """Aligned nodes of two trees given by parents and tags: a largest matching that keeps order and levels."""
-    kids_a, kids_b, tags_a, tags_b = _children(a[0]), _children(b[0]), np.array(a[1]), np.array(b[1])
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def weigh(i, j):
-        """The size of the best matching of two subtrees whose roots match; children's tables by depth-first order."""
-        ka, kb = kids_a[i], kids_b[j]
-        if not ka or not kb:
-            return 1.0
-        w = (tags_a[ka][:, None] == tags_b[kb][None]).astype(float)
-        for x, p in enumerate(ka):
-            if kids_a[p]:
-                for y in np.flatnonzero(w[x]):
-                    if kids_b[kb[y]]:
-                        w[x, y] = weigh(p, kb[y])
-        m = np.zeros((len(ka) + 1, len(kb) + 1))
-        for x in range(len(ka)):
-            m[x + 1, 1:] = np.maximum.accumulate(np.maximum(m[x, 1:], m[x, :-1] + w[x]))
-        tables[i, j] = m, w
-        return 1.0 + m[-1, -1]
-
-    weigh(0, 0)
+    shapes = _Shapes()
+    (sa, kids_a), (sb, kids_b) = shapes.of(*a), shapes.of(*b)
+    matching = _Matching(shapes)
+    if shapes.tag[sa[0]] != shapes.tag[sb[0]]:
+        return []
     pairs, todo = [], [(0, 0)]
     while todo:
         i, j = todo.pop()
         pairs.append((i, j))
-        if (i, j) not in tables:
+        if not kids_a[i] or not kids_b[j]:
             continue
-        (m, w), x, y = tables[i, j], len(kids_a[i]), len(kids_b[j])
-        while x and y:
-            if w[x - 1, y - 1] and m[x, y] == m[x - 1, y - 1] + w[x - 1, y - 1]:
-                todo.append((kids_a[i][x - 1], kids_b[j][y - 1]))
-                x, y = x - 1, y - 1
-            elif m[x, y] == m[x - 1, y]:
-                x -= 1
-            else:
-                y -= 1
+        ka, kb = tuple(sa[c] for c in kids_a[i]), tuple(sb[c] for c in kids_b[j])
+        matching.weigh(sa[i], sb[j])
+        todo += [(kids_a[i][x], kids_b[j][y]) for x, y in matching.pairs(ka, kb)]
     return pairs
 
 
-def main_blocks(tree: _Tree, template: frozenset[int]) -> list[str]:
-    """The page's content: blocks of the article, else of main, else of the page, that are neither marked off nor template."""
+def candidates(tree: _Tree) -> list[tuple[int, str]]:
+    """Blocks that may be content: of the article, else of main, else of the page, that aren't marked off. (element, text)"""
     live = [(at, text) for at, text in tree.blocks if not tree.dropped[at]]
     for inside in (tree.in_article, tree.in_main):
         if any(inside[at] for at, _ in live):
-            live = [(at, text) for at, text in live if inside[at]]
-            break
-    return [text for at, text in live if not template or fingerprint(_path(tree, at), text) not in template]
+            return [(at, text) for at, text in live if inside[at]]
+    return live
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = 8, constant_share: float = 0.6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def constant_blocks(reference: tuple[list[int], list[int], list[list[int]]], page: tuple[list[int], list[int], list[list[int]]]) -> list[int]:
+    """Blocks of the reference that the page has in the aligned node."""
+    if not {x for own in reference[2] for x in own} & {x for own in page[2] for x in own}:
+        return []  # whatever is aligned with what, no block is constant
+    out = []
+    for i, j in simple_tree_matching(reference[:2], page[:2]):
+        if reference[2][i] and page[2][j]:
+            out += (Counter(reference[2][i]) & Counter(page[2][j])).keys()
+    return sorted(set(out))
+
+
+_PARSED = "host string, layout long, parents array<int>, tags array<int>, texts array<array<bigint>>, prints array<bigint>, blocks array<string>"
+
+
+def extract_main_text(pages: DataFrame, least_pages: int = 3, constant_share: float = 0.6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: page_id, url, text, n_chars.
 
-    A block is template when, on at least least_pages distinct pages of its host and
-    a share of constant_share of them, the aligned node has the same text; copies of
-    one page count once. A null or empty html has an empty text; a null url is a host
-    of its own; ids may be null or repeat, each row being a page; an empty table gives
-    an empty result; other columns are ignored.
+    A block is template when the aligned node has the same text on constant_share of
+    a host's distinct pages, or of those of one layout (for that layout's pages), and
+    on least_pages of them: fewer can't tell a template from a copied text. Copies of
+    a page count once.
+
+    A null or empty html has an empty text. Pages with a null url, or one without a
+    host, are a host of their own. Ids may be null or repeat: each row is a page. Of
+    references that tie the smallest digest is taken, of equally large matchings one
+    by a fixed rule. A page is held whole by one task, with about 20 times its size,
+    whatever its depth or width. An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
     read = bounded_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
-    read = read.withColumn("host", host)
+    kind = dict(read.dtypes)["page_id"]
 
-    def bones(batches):
+    def parsed(batches):
         for batch in batches:
-            parents, tags, texts = [], [], []
-            for html in batch.column(0).to_pylist():
-                p, t, x = skeleton(parse(html or ""))
-                parents.append(p)
-                tags.append(t)
-                texts.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(parents, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64()))], names=["host", "parents", "tags", "texts"])
-
-    drawn = read.select("html", "host").mapInArrow(bones, "host string, parents array<int>, tags array<int>, texts array<bigint>")
+            for start in range(0, batch.num_rows, 100):
+                part, cols = batch.slice(start, 100), [[] for _ in range(6)]
+                for html in part.column("html").to_pylist():
+                    tree = parse(html or "")
+                    live = candidates(tree)
+                    for c, v in zip(cols, (layout(tree), *skeleton(tree), [tree.fingerprint(at, x) for at, x in live], [x for _, x in live]), strict=True):
+                        c.append(v)
+                kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.string())]
+                names = ["page_id", "url", "host", "layout", "parents", "tags", "texts", "prints", "blocks"]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+    seen = materialise(read.withColumn("host", host).mapInArrow(parsed, f"page_id {kind}, url string, {_PARSED}"))
     # Copies of a page, of which there may be very many, are one. Hosts deal their pages out by their own digest.
-    own = materialise(drawn.withColumn("digest", F.xxhash64("parents", "tags", "texts")).dropDuplicates(["host", "digest"]))
-    counted = own.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.min("digest").alias("digest")).filter(F.col("n_pages") >= least_pages)
-    model = counted.join(own, ["host", "digest"]).select("host", "n_pages", F.col("parents").alias("r_parents"), F.col("tags").alias("r_tags"), F.col("texts").alias("r_texts"))
+    bones = seen.select("host", "layout", "parents", "tags", "texts", F.xxhash64("parents", "tags", "texts").alias("digest"))
+    own = bones.dropDuplicates(["host", "digest"])
+    # Scope 0 is a host's pages, the others its layouts'.
+    scoped = materialise(own.withColumn("scope", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), "layout")))).drop("layout"))
+    counted = scoped.groupBy("host", "scope").agg(F.count(F.lit(1)).alias("n_pages"), F.min("digest").alias("digest")).filter(F.col("n_pages") >= least_pages)
+    model = counted.join(scoped, ["host", "scope", "digest"]).select("host", "scope", "n_pages", F.col("parents").alias("r_parents"), F.col("tags").alias("r_tags"), F.col("texts").alias("r_texts"))
 
     def align(batches):
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            same = []
-            for parents, tags, texts, rp, rt, rx in zip(c["parents"], c["tags"], c["texts"], c["r_parents"], c["r_tags"], c["r_texts"], strict=True):
-                same.append([rx[i] for i, j in simple_tree_matching((rp, rt), (parents, tags)) if rx[i] and rx[i] == texts[j]])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n_pages"), pa.array(same, pa.list_(pa.int64()))], names=["host", "n_pages", "same"])
-
-    agreed = own.join(model, "host").mapInArrow(align, "host string, n_pages long, same array<bigint>")
-    votes = agreed.select("host", "n_pages", F.explode("same").alias("block")).groupBy("host", "n_pages", "block").count()
-    constant = votes.filter((F.col("count") >= least_pages) & (F.col("count") >= constant_share * F.col("n_pages"))).groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("template"))
-    constant = materialise(constant)
-
-    def text_of(batches):
-        for batch in batches:
-            out = ["\n".join(main_blocks(parse(html or ""), frozenset(t or ()))) for html, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    kind = dict(read.dtypes)["page_id"]
-    return read.join(constant, "host", "left").select("page_id", "url", "html", "template").mapInArrow(text_of, f"page_id {kind}, url string, text string, n_chars long")
+            c = {n: batch.column(n).to_pylist() for n in ("r_parents", "r_tags", "r_texts", "parents", "tags", "texts")}
+            same = [constant_blocks((rp, rt, rx), (p, t, x)) for rp, rt, rx, p, t, x in zip(*c.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("scope"), batch.column("n_pages"), pa.array(same, pa.list_(pa.int64()))], names=["host", "scope", "n_pages", "same"])
+
+    agreed = scoped.join(model, ["host", "scope"]).mapInArrow(align, "host string, scope long, n_pages long, same array<bigint>")
+    votes = agreed.select("host", "scope", "n_pages", F.explode("same").alias("block")).groupBy("host", "scope", "n_pages", "block").count()
+    constant = votes.filter((F.col("count") >= least_pages) & (F.col("count") >= constant_share * F.col("n_pages"))).groupBy("host", "scope").agg(F.sort_array(F.collect_set("block")).alias("template"))
+    wrapper = materialise(constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("scope", "template"))).alias("wrapper")))
+
+    # The wrapper of a host is a bounded row (its reference's blocks), and pages without any stay where they are.
+    text = F.concat_ws("\n", F.transform(F.filter(F.arrays_zip("prints", "blocks"), lambda b: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), b["prints"])), lambda b: b["blocks"]))
+    mine = F.flatten(F.transform(F.filter("wrapper", lambda w: (w["scope"] == 0) | (w["scope"] == F.col("layout"))), lambda w: w["template"]))
+    out = seen.select("page_id", "url", "host", "layout", "prints", "blocks").join(wrapper, "host", "left").withColumn("template", mine).withColumn("text", text)
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

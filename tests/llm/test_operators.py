@@ -134,32 +134,92 @@ def test_em_finds_junk():
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class=\"ad\">Buy</div>{body}<footer>&copy; us</footer>"
 
 
+def main_text(html, template=frozenset()):
+    tree = html_extraction.parse(html)
+    return "\n".join(x for at, x in html_extraction.candidates(tree) if tree.fingerprint(at, x) not in template)
+
+
 def test_html_rules():
-    text = lambda body: "\n".join(html_extraction.main_blocks(html_extraction.parse(PAGE.format(body=body)), frozenset()))
+    text = lambda body: main_text(PAGE.format(body=body))
     assert text("<article><h1>A &amp; B</h1><p><b>one\n two<br><p>three</article>") == "A & B\none two\nthree"
     assert text("<article><p>body<aside>x</aside><div class='comments'><p>nice</div><form><p>f</form><p>end</article>") == "body\nend"
     assert text("<div><p>only</p></div>") == "only"
     assert text("") == ""
-    assert html_extraction.main_blocks(html_extraction.parse(""), frozenset()) == []
-
-
-def test_tree_matching():
-    a = ([-1, 0, 0, 0, 1], [1, 2, 3, 2, 5])
-    b = ([-1, 0, 0, 1], [1, 2, 2, 5])
-    pairs = html_extraction.simple_tree_matching(a, b)
-    assert len(pairs) == 4 and (4, 3) in pairs and (0, 0) in pairs
-    assert html_extraction.simple_tree_matching(a, a) and len(html_extraction.simple_tree_matching(a, a)) == 5
+    assert main_text("") == ""
+
+
+def best_matching(a, b):
+    """Size of the largest matching, by plain recursion."""
+    kids = lambda t: [[c for c, p in enumerate(t[0]) if p == i] for i in range(len(t[0]))]
+    ka, kb = kids(a), kids(b)
+
+    def weigh(i, j):
+        if a[1][i] != b[1][j]:
+            return 0
+        m = [[0] * (len(kb[j]) + 1) for _ in range(len(ka[i]) + 1)]
+        for x, p in enumerate(ka[i]):
+            for y, q in enumerate(kb[j]):
+                m[x + 1][y + 1] = max(m[x][y + 1], m[x + 1][y], m[x][y] + weigh(p, q))
+        return 1 + m[-1][-1]
+
+    return weigh(0, 0)
+
+
+@pytest.mark.parametrize("table", [1 << 20, 4])
+def test_tree_matching(monkeypatch, table):
+    monkeypatch.setattr(html_extraction, "TABLE", table)
+    rng = np.random.default_rng(8)
+
+    def tree(n):
+        depth_first = [-1]
+        path = [0]
+        for i in range(1, n):
+            del path[int(rng.integers(1, len(path) + 1)) :]
+            depth_first.append(path[-1])
+            path.append(i)
+        return depth_first, [0, *rng.integers(0, 3, n - 1).tolist()]
+
+    for _ in range(150):
+        a, b = tree(int(rng.integers(1, 14))), tree(int(rng.integers(1, 14)))
+        pairs = html_extraction.simple_tree_matching(a, b)
+        assert len(pairs) == best_matching(a, b)
+        up = dict(pairs)
+        assert len(up) == len(pairs) == len(set(up.values()))
+        for i, j in pairs:
+            assert a[1][i] == b[1][j] and (i == 0 or up[a[0][i]] == b[0][j])
+        same_parent = [(x, y) for x in pairs for y in pairs if x[0] < y[0] and a[0][x[0]] == a[0][y[0]]]
+        assert all(x[1] < y[1] for x, y in same_parent)
+        assert len(html_extraction.simple_tree_matching(a, a)) == len(a[0])
+
+
+def test_html_deep_and_wide():
+    deep = html_extraction.parse("<div>" * 20_000 + "x")
+    wide = html_extraction.parse("<ul>" + "".join(f"<li>{i}" if i % 3 else "<p>q</p>" for i in range(9000)) + "</ul>")
+    other = html_extraction.parse("<ul>" + "".join(f"<li>{i}" if i % 5 else "<p>q</p>" for i in range(8000)) + "</ul>")
+    assert html_extraction.candidates(deep) == [(20_000, "x")]
+    for x, y in ((deep, deep), (wide, other)):
+        a, b = html_extraction.skeleton(x), html_extraction.skeleton(y)
+        assert len(html_extraction.simple_tree_matching(a[:2], b[:2])) > 5000
 
 
 def test_html_template(spark):
-    made = [(i, "http://h.example/" + str(i), PAGE.format(body=f"<article><h1>Title {i}</h1><p>Story {i} {'w' * i}</p><p>Read more on our site</p></article>")) for i in range(12)]
+    made = [(i, "http://h.example/" + str(i), PAGE.format(body=f"<article><h1>Title {i}</h1><p>Story {i} {'w' * i}</p><p>Read more on our site</p><div>Footer start<p>mid</p>Footer end</div></article>")) for i in range(12)]
     made += [(50, None, None), (51, "http://h.example/x", ""), (52, "http://other.example/", PAGE.format(body="<article><p>Read more on our site</p></article>")), (0, made[0][1], made[0][2])]
-    df = spark.createDataFrame(made, "page_id long, url string, html string")
-    got = {(r["page_id"], r["url"]): r for r in html_extraction.extract_main_text(df).collect()}
-    assert len(html_extraction.extract_main_text(df).collect()) == len(made)
-    assert got[3, "http://h.example/3"]["text"] == "Title 3\nStory 3 www"  # the constant block is template
+    # A layout on a minority of a host's pages, and a host of three pages.
+    made += [(100 + i, "http://two.example/" + str(i), PAGE.format(body=f"<article><p>Text {i}</p></article>")) for i in range(9)]
+    made += [(120 + i, "http://two.example/g" + str(i), PAGE.format(body=f"<article><section><p>Text {i}</p><p>Gallery note</p></section></article>")) for i in range(4)]
+    made += [(140 + i, "http://three.example/" + str(i), PAGE.format(body=f"<article><p>Text {i}</p><p>Note</p></article>")) for i in range(3)]
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    made += [(150 + i, "http://deep.example/" + str(i), f"<article><p>n {i}</p>{deep}</article>") for i in range(3)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in made], "page_id long, url string, html string, host string, layout int")
+    rows = html_extraction.extract_main_text(df).collect()
+    got = {(r["page_id"], r["url"]): r for r in rows}
+    assert len(rows) == len(made)
+    assert got[3, "http://h.example/3"]["text"] == "Title 3\nStory 3 www"  # constant blocks are template, several in one node too
     assert got[52, "http://other.example/"]["text"] == "Read more on our site"  # one page tells nothing
     assert got[50, None]["text"] == "" and got[50, None]["n_chars"] == 0
+    assert got[103, "http://two.example/3"]["text"] == "Text 3" and got[122, "http://two.example/g2"]["text"] == "Text 2"
+    assert got[141, "http://three.example/1"]["text"] == "Text 1" and got[151, "http://deep.example/1"]["text"] == "n 1"
     assert html_extraction.extract_main_text(df.limit(0)).count() == 0
 
 
