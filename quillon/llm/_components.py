@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._shared import materialise
+from quillon.llm._shared import materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.filter("hi <> lo").distinct()
         low = down.groupBy("hi").agg(F.min("lo").alias("m"))
         small = down.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
-        now = materialise(small.filter("hi <> lo").distinct())
+        earlier, now = now, materialise(small.filter("hi <> lo").distinct())
+        release(earlier)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if state == before:
             break

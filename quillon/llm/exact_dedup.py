@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _hashing as H
-from quillon.llm._shared import bounded_batches
+from quillon.llm._shared import bounded_batches, materialise
 
 _RECIPE = "doc_id long, text_sha256 string, chunks array<struct<digest:binary,check:binary,length:int>>"
 
+_STEP = 10_000
+
 
 def normalise_space(text: bytes) -> bytes:
     """Each run of ASCII white space becomes one space; the ends aren't trimmed."""
@@ -46,7 +48,8 @@ def exact_groups(docs: DataFrame, mean_chunk: int = 2048, id_col: str = "doc_id"
     Texts are equal when identical after turning each white-space run into one
     space; null counts as empty. Of equal texts the row with the smallest id stays;
     a null id stays only if all are null, and of repeated rows one stays. An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns, whatever their names, are ignored. A
+    text is held whole by one task, with about 4 times its size.
     """
 
     def recipes(batches):
@@ -65,26 +68,44 @@ def exact_groups(docs: DataFrame, mean_chunk: int = 2048, id_col: str = "doc_id"
 
     read = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Rows that agree in id and text are one entry with a count.
-    entry = read.mapInArrow(recipes, _RECIPE).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"), F.first("chunks").alias("chunks"))
-    placed = entry.select("doc_id", "text_sha256", "copies", F.posexplode("chunks").alias("at", "chunk")).select("doc_id", "text_sha256", "copies", "at", "chunk.*")
+    entry = materialise(read.mapInArrow(recipes, _RECIPE).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"), F.first("chunks").alias("chunks")))
+    placed = entry.select(F.explode("chunks").alias("chunk")).select("chunk.*")
     known = placed.groupBy("digest").agg(F.min("check").alias("low"), F.max("check").alias("high"), F.min("length").alias("short"), F.max("length").alias("long"))
-    verified = known.select("digest", ((F.col("low") == F.col("high")) & (F.col("short") == F.col("long"))).alias("verified"))
-    # A digest that stands for one content is its identifier; else the check tells contents apart.
-    named = placed.join(verified, "digest").withColumn("chunk_id", F.when(F.col("verified"), F.col("digest")).otherwise(F.concat("digest", "check", F.encode(F.col("length").cast("string"), "UTF-8"))))
-    recipe = named.groupBy("doc_id", "text_sha256", "copies").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))), lambda x: x["chunk_id"]).alias("recipe"))
-    group = recipe.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    one = recipe.join(group, "recipe")
-    each = one.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    # A digest that stands for one content is its identifier; with the others (none is known to exist) goes the check.
+    doubtful = materialise(known.filter("low <> high or short <> long").select("digest"))
+    whole = F.transform("chunks", lambda c: c["digest"])
+    recipe = entry.withColumn("recipe", whole)
+    if not doubtful.isEmpty():
+        torn = entry.select("doc_id", "text_sha256", F.explode("chunks").alias("chunk")).join(doubtful, F.col("chunk.digest") == doubtful["digest"], "left_semi").select("doc_id", "text_sha256").distinct()
+        apart = F.transform("chunks", lambda c: F.concat(c["digest"], c["check"], F.encode(c["length"].cast("string"), "UTF-8")))
+        same = F.col("doc_id").eqNullSafe(F.col("torn_id")) & (F.col("text_sha256") == F.col("torn_sha"))
+        recipe = entry.join(torn.select(F.col("doc_id").alias("torn_id"), F.col("text_sha256").alias("torn_sha"), F.lit(True).alias("torn")), same, "left").withColumn("recipe", F.when(F.col("torn"), apart).otherwise(whole))
+    group = recipe.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count(F.lit(1)).alias("entries"))
+    # Groups of over a 500th of all entries are fewer than 500 rows: their members are met where they are.
+    most = entry.count() // 500
+    hot = group.filter(F.col("entries") > most).select(F.col("recipe").alias("hot_recipe"), F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    met = recipe.join(F.broadcast(hot), F.col("recipe") == F.col("hot_recipe"), "left")
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256", "copies"]
+    rest = met.filter("hot_size is null").select("doc_id", "text_sha256", "copies", "recipe").join(group.filter(F.col("entries") <= most), "recipe").select(*columns)
+    one = met.filter("hot_size is not null").select("doc_id", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"), "text_sha256", "copies").unionByName(rest)
+    # A row for each copy, in two steps, so that no array is long.
+    step = F.lit(_STEP)
+    each = one.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("copies") - 1) / step).cast("long")))).withColumn("copy", F.explode(F.sequence(F.col("part") * step, F.least(F.col("copies"), (F.col("part") + 1) * step) - 1)))
+    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that exact_groups() keeps, with all their columns."""
-    stays = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("kept_id__"), F.col("text_sha256").alias("kept_sha__"))
+    """The documents that exact_groups() keeps, with all their columns, whatever their names.
+
+    A null text counts as empty, null ids as larger than others; of repeated rows one stays; an empty table gives an empty
+    result. Whole rows move once, after repeated ones in one partition have become one.
+    """
+    stays = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept")
+    keys = lambda i: (F.coalesce(i, F.lit(0)).alias("k"), i.isNull().alias("none"))
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    own = docs.withColumn("own_sha__", digest)
-    found = own.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id__")) & (F.col("own_sha__") == F.col("kept_sha__")), "left_semi")
-    return found.dropDuplicates([id_col, "own_sha__"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys(F.col(id_col).cast("long")), digest.alias("sha"))
+    found = own.dropDuplicates(["k", "none", "sha"]).join(stays.select(*keys(F.col("doc_id")), F.col("text_sha256").alias("sha")), ["k", "none", "sha"], "left_semi")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 EXACT_SQL = r"""

@@ -162,9 +162,12 @@ def _posteriors(measured: DataFrame) -> DataFrame:
     return measured.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], "votes int, posterior double")
 
 
+def _failed(least_words: int) -> Column:
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def _verdict(measured: DataFrame, posteriors: DataFrame, least_words: int, keep_from: float) -> DataFrame:
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = measured.join(F.broadcast(posteriors), "votes").withColumn("base_failed", failed)
+    out = measured.join(F.broadcast(posteriors), "votes").withColumn("base_failed", _failed(least_words))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
 
 
@@ -173,8 +176,10 @@ def judge(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id_col
 
     kept is false for base_failed rows (under least_words words, or over half of the
     words in repeated 3-word windows), else whether the posterior reaches keep_from.
-    A null or empty text has no words and fails; ids may be null or repeat; an empty
-    table gives an empty result; other columns are ignored.
+    A null or empty text has no words and fails; ids may be null or repeat; a posterior
+    that ties with keep_from is kept; an empty table gives an empty result; other
+    columns, whatever their names, are ignored. A text is held whole by one task, with
+    about 30 times its size.
     """
     seen = materialise(_measured(docs, id_col, text_col))
     out = _verdict(seen, _posteriors(seen), least_words, keep_from)
@@ -182,9 +187,11 @@ def judge(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id_col
 
 
 def keep_good(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that judge() keeps, with all their columns. Texts are measured twice rather than shuffled."""
-    posteriors = _posteriors(_measured(docs, id_col, text_col))
-    columns, own = docs.columns, docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    """The documents that judge() keeps, with all their columns, whatever their names; else as judge().
+
+    Texts are measured once: rows that may stay are written beside their measures, others' measures alone.
+    """
+    columns, own = docs.columns, bounded_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     at_text = columns.index(text_col)
 
     def measure(batches):
@@ -195,4 +202,5 @@ def keep_good(docs: DataFrame, least_words: int = 50, keep_from: float = 0.5, id
 
     kind = own.schema["row"].dataType.simpleString()
     measured = own.mapInArrow(measure, f"row {kind}, " + ", ".join(f"{c} long" for c in _LONGS[1:])).withColumn("votes", _votes())
-    return _verdict(measured, posteriors, least_words, keep_from).filter("kept").select(*(F.col("row").getField(c).alias(c) for c in columns))
+    seen = materialise(measured.select(F.when(~_failed(least_words), F.col("row")).alias("row"), "n_words", "n_repeat_words", "votes"))
+    return _verdict(seen, _posteriors(seen), least_words, keep_from).filter("kept").select(*(F.col("row").getField(c).alias(c) for c in columns))
