@@ -30,6 +30,8 @@ TOKENS = 128
 NODE = 4096
 SLICE, PIVOTS = 2048, 32
 BUCKET_ROWS = 8192
+#: Bytes of full sets in a slice that is confirmed at once.
+CONFIRM = 32 << 20
 FEW = 1_000_000
 
 
@@ -124,7 +126,10 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
     of a node are compared, whatever its size.
 
     Rows without an id are linked with nothing and kept. Rows with equal ids are one
-    document. An empty table gives an empty result; other columns are ignored.
+    document; should their texts differ, the smallest is compared. Pairs exactly at the
+    threshold are linked. An empty table gives an empty result; other columns, whatever
+    their names, are ignored. A text is held whole by one task, with about 30 times its
+    size, and two slices of full sets of CONFIRM bytes (or one longer set) each.
     """
     n_keys, slack = trees * chosen, 5 * np.sqrt(TOKENS * percent / 100 * (1 - percent / 100))
     least_equal = int(TOKENS * percent / 100 - slack)
@@ -246,12 +251,20 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
         deal = lambda c: F.pmod(F.xxhash64(c), F.lit(n_buckets)).cast("int")
         alike = asked.join(sets.select("rep", "n_shingles", "tokens"), "rep").withColumn("bucket", deal("task"))
         groups = materialise(crowded(alike.groupBy("bucket").applyInArrow(compare_tokens, "node long, rep long")).drop("size"))
-        wanted = groups.select("rep").distinct()
+        # A task confirms at most two slices of a group, of about CONFIRM bytes of sets each; all pairs of slices are tasks.
+        weighed = groups.join(sets.select("rep", "n_shingles"), "rep")
+        slices = weighed.groupBy("node").agg(F.ceil(F.sum("n_shingles") * 8 / CONFIRM).cast("long").alias("slices"))
+        own = F.pmod(F.xxhash64("rep", "node"), F.col("slices"))
+        dealt = weighed.join(slices, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        dealt = materialise(dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "n_shingles"))
+        weight = dealt.agg(F.sum("n_shingles")).first()[0] or 0
+        n_confirm = max(1, -(-weight * 8 // CONFIRM))
+        wanted = dealt.select("rep").distinct()
         if wanted.count() <= FEW:  # at most 16 MB: texts are filtered where they are read; beyond, both sides are shuffled
             wanted = F.broadcast(wanted)
-        texts = read.join(wanted, read["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"])
-        held = groups.join(texts.mapInArrow(full_sets, "rep long, shingles binary"), "rep").withColumn("bucket", deal("node"))
-        return held.groupBy("bucket").applyInArrow(confirm, "a long, b long")
+        texts = read.join(wanted, read["doc_id"] == wanted["rep"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        held = dealt.select("node", "rep").join(texts.mapInArrow(full_sets, "rep long, shingles binary"), "rep").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(n_confirm)))
+        return materialise(held.groupBy("bucket").applyInArrow(confirm, "a long, b long"))
 
     def slice_pairs(linked: DataFrame) -> DataFrame:
         """(task, rep, part): each pair of a large node's slices. Large components have slices of their own, which aren't paired with each other."""
@@ -284,6 +297,14 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Of each group of near_groups() the document with the smallest id, with all its columns."""
-    stays = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col("doc_id").alias("kept_id__")).distinct()
-    return docs.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id__")), "left_semi")
+    """Of each group of near_groups() the document with the smallest id, with all its columns, whatever their names.
+
+    Rows without an id are all kept. Of rows with an equal id one is kept, that with the smallest text. An empty
+    table gives an empty result.
+    """
+    stays = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    found = own.filter("k is not null").join(stays, F.col("k") == F.col("doc_id"))
+    many = found.filter("times > 1").groupBy("k").agg(F.min_by("row", F.coalesce("t", F.lit(""))).alias("row"))
+    rows = own.filter("k is null").select("row").unionByName(found.filter("times = 1").select("row")).unionByName(many.select("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

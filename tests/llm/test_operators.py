@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, source_mixing, substring_dedup, suffix_dedup
 from quillon.llm.exact_dedup import chunk_ends, exact_groups, keep_first
@@ -95,6 +96,18 @@ def test_mixing(docs, rows, none):
         quota = share * sum(r["n_tokens"] for r in got)
         assert abs(sum(r["n_tokens"] for r in mine) - quota) < 9500 and last <= 3 and total >= 0
     assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+    for p in {r["pass"] for r in got}:  # a block's rows have one turn; turns differ by block
+        turns = collections.defaultdict(set)
+        for r in got:
+            if r["pass"] == p:
+                turns[r["block"]].add(r["turn"])
+        assert all(len(t) == 1 for t in turns.values()) and len({min(t) for t in turns.values()}) == len(turns)
+    many, _ = source_mixing.mix_sources(docs, target_entropy=1.0)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    w = source_mixing.weights([v / sum(sizes.values()) for v in sizes.values()], source_mixing.find_exponent(list(sizes.values()), target_entropy=1.0))
+    assert {r["source"]: round(r["mix_weight"], 9) for r in many.collect()} == {k: round(x, 9) for k, x in zip(sizes, w, strict=True)}
     capped, _ = source_mixing.mix_sources(docs, budget=2000, most_repeats=5.0)
     assert capped.columns[: len(docs.columns)] == docs.columns
     assert sum(r["mix_tokens"] for r in capped.collect()) <= 2005
@@ -300,10 +313,33 @@ def test_near(docs, rows, none):
     want = collections.Counter((r[0], len(shingles(r[1])), comp.get(r[0]), r[0] == comp.get(r[0])) for r in rows)
     assert bag(near_dedup.near_groups(docs), "doc_id", "n_shingles", "component_id", "kept") == want
     kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None, *comp.values()}
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(set(comp.values()))
+    assert kept.filter("doc_id is null").count() == sum(r[0] is None for r in rows)
     assert near_dedup.near_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("confirm,few", [(1 << 12, 10**6), (1 << 25, 0)])
+def test_near_in_small_parts(docs, rows, monkeypatch, confirm, few):
+    """Groups larger than a confirming task, and texts found by a shuffle."""
+    monkeypatch.setattr(near_dedup, "CONFIRM", confirm)
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    comp = near_components([(r[0], r[1]) for r in rows if r[0] is not None])
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs).collect() if r["doc_id"] is not None} == comp
+
+
+def test_equal_ids_and_taken_names(spark):
+    """Rows with an equal id: one stays. Columns named like those made inside come back as they were."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(70))
+    rows = [(1, text(1), "a", "mine"), (1, text(1), "a", "mine"), (2, text(2), "a", "mine"), (None, text(3), "a", "mine"), (None, text(3), "a", "mine"), (4, None, "a", "mine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, sha string").select("*", *(F.lit("mine").alias(c) for c in ("own_sha__", "kept_id__", "row", "k", "t", "times", "n_words", "votes", "mix_pass", "bucket", "none")))
+    for f, ids in ((exact_groups, None), (keep_first, [None, 1, 2, 4]), (near_dedup.keep_one, [None, None, 1, 2, 4]), (quality_rules.keep_good, [None, None, 1, 1, 2]), (lambda d: source_mixing.mix_sources(d)[0].select(*d.columns), [None, None, 1, 1, 2, 4])):
+        out = f(df)
+        if ids is not None:
+            assert out.columns == df.columns
+            got = out.collect()
+            assert sorted((r["doc_id"] for r in got), key=repr) == sorted(ids, key=repr) and all(r[c] == "mine" for r in got for c in df.columns[3:])
+
+
 def test_near_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "NODE", 8)
     monkeypatch.setattr(near_dedup, "SLICE", 6)
