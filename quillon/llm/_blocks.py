@@ -73,19 +73,21 @@ def bits(parts: list[tuple[int, bytes]], counts: np.ndarray) -> np.ndarray:
 
 
 def pack_gaps(values: np.ndarray) -> bytes:
-    """Sorted distinct integers as gaps of 1 to 8 bytes, with a longer form for rare large gaps."""
+    """Sorted distinct integers as gaps of 1 to 15 half bytes, with a longer form for rare large gaps."""
     if not len(values):
         return b""
     gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
     first, gaps = int(gaps[0]), gaps[1:]
     mean = int(gaps.mean()) if len(gaps) else 1
-    width = min(8, max(1, -(-(mean * 8).bit_length() // 8)))
-    top = (1 << (8 * width)) - 1
-    big = np.flatnonzero(gaps >= np.uint64(top)) if width < 8 else np.zeros(0, np.int64)
-    small = gaps.astype("<u8")
-    small[big] = top
-    small = np.ascontiguousarray(small.view(np.uint8).reshape(-1, 8)[:, :width])
-    return np.array([first, len(gaps), width, len(big)], np.uint64).tobytes() + big.astype(np.uint64).tobytes() + gaps[big].astype(np.uint64).tobytes() + small.tobytes()
+    width = min(15, max(1, -(-(mean * 8).bit_length() // 4)))
+    top = np.uint64((1 << (4 * width)) - 1)
+    big = np.flatnonzero(gaps >= top)
+    small = np.minimum(gaps, top).astype("<u8")
+    whole = np.ascontiguousarray(small.view(np.uint8).reshape(-1, 8)[:, : width // 2]).tobytes()
+    if width % 2:  # two gaps' highest half bytes make a byte
+        high = np.append((small >> np.uint64(4 * (width - 1))).astype(np.uint8), np.zeros(len(small) % 2, np.uint8)).reshape(-1, 2)
+        whole += (high[:, 0] | high[:, 1] << 4).astype(np.uint8).tobytes()
+    return np.array([first, len(gaps), width, len(big)], np.uint64).tobytes() + big.astype(np.uint64).tobytes() + gaps[big].astype(np.uint64).tobytes() + whole
 
 
 def unpack_gaps(raw: bytes) -> np.ndarray:
@@ -95,7 +97,10 @@ def unpack_gaps(raw: bytes) -> np.ndarray:
     at = np.frombuffer(raw, np.uint64, big, 32).astype(np.int64)
     val = np.frombuffer(raw, np.uint64, big, 32 + 8 * big)
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, 32 + 16 * big).reshape(n, width)
+    wide[:, : width // 2] = np.frombuffer(raw, np.uint8, n * (width // 2), 32 + 16 * big).reshape(n, width // 2)
+    if width % 2:
+        pairs = np.frombuffer(raw, np.uint8, (n + 1) // 2, 32 + 16 * big + n * (width // 2))
+        wide[:, width // 2] = np.stack([pairs & 15, pairs >> 4], 1).reshape(-1)[:n]
     gaps = wide.view("<u8").reshape(-1).astype(np.uint64)
     gaps[at] = val
     return np.cumsum(np.concatenate([np.array([first], np.uint64), gaps]), dtype=np.uint64)

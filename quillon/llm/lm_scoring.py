@@ -15,9 +15,9 @@ lanes side by side, each begun that many tokens early.
 
 The model is never in one place: each block of documents fetches the counts of its
 own distinct grams, and so holds the part of the automaton that its texts can reach.
-Words are matched by 93 bits of BLAKE2b. Longer grams are matched by fingerprints
-long enough that one never seen is taken for another with a probability of a
-millionth.
+Words are matched by 77 bits of BLAKE2b. Longer grams are matched by fingerprints
+long enough that one never seen is taken for another with a probability of 1 in
+65,536.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def score(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, mass: tuple[f
     base, n_blocks, total = B.sized(docs, id_col, text_col)
     order = len(mass) + 1
     n_words, n_grams = B.buckets(total / 25, n_blocks), B.buckets(total / 6, n_blocks)
-    bits = min(64, math.ceil(math.log2(max(total // 5, 2))) + 20)
+    bits = min(64, math.ceil(math.log2(max(total // 5, 2))) + 16)
     start, stop = (H.mix(np.array([x], np.uint64))[0] for x in (99, 7))
 
     def tokens_of(table):
@@ -159,7 +159,7 @@ def score(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, mass: tuple[f
         out = []
         for b in range(n_words):  # every bucket hears from every block, and so can tell it its totals
             s = slice(cut[b], cut[b + 1])
-            out.append((b, B.join(B.pack_sorted(h[0][s] >> _KEY), (h[1][s] >> np.uint64(32)).astype("<u4").tobytes(), B.pack_counts(count[s]))))
+            out.append((b, B.join(B.pack_sorted(h[0][s] >> _KEY), (h[1][s] >> np.uint64(48)).astype("<u2").tobytes(), B.pack_counts(count[s]))))
         for k, ((keys, n, _), c) in enumerate(zip(found, gram_cuts, strict=True)):
             for b in range(n_grams):
                 s = slice(c[b], c[b + 1])
@@ -170,7 +170,7 @@ def score(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, mass: tuple[f
     def add_up(table):
         parts = [B.split(p) for p in table.column("payload").to_pylist()]
         if table.column("bucket")[0].as_py() < n_words:
-            keys = [np.concatenate([B.unpack_sorted(p[0]) for p in parts]), np.concatenate([np.frombuffer(p[1], "<u4") for p in parts])]
+            keys = [np.concatenate([B.unpack_sorted(p[0]) for p in parts]), np.concatenate([np.frombuffer(p[1], "<u2") for p in parts])]
         else:
             keys = [np.concatenate([B.unpack_gaps(p[0]) for p in parts])]
         counts = [B.unpack_counts(p[-1]) for p in parts]
