@@ -150,8 +150,8 @@ def parse(html: str) -> _Tree:
     return tree
 
 
-def skeleton(tree: _Tree) -> tuple[list[int], list[int], list[list[int]]]:
-    """Parents, tag codes and the blocks' fingerprints of the tree's block elements, in page order."""
+def skeleton(tree: _Tree) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Parents and tag codes of the tree's block elements, and the blocks' elements and fingerprints, in page order."""
     place, parents, tags = {0: 0}, [-1], [0]
     own = [0] * len(tree.tags)  # the block element that each element stands in
     for i in range(1, len(tree.tags)):
@@ -161,10 +161,7 @@ def skeleton(tree: _Tree) -> tuple[list[int], list[int], list[list[int]]]:
             parents.append(own[i])
             tags.append(_hash(tree.tags[i].encode()) & 0x7FFFFFFF)
             own[i] = place[i]
-    texts: list[list[int]] = [[] for _ in parents]
-    for at, block in tree.blocks:
-        texts[place[at]].append(tree.fingerprint(at, block))
-    return parents, tags, texts
+    return parents, tags, [place[at] for at, _ in tree.blocks], [tree.fingerprint(at, block) for at, block in tree.blocks]
 
 
 def layout(tree: _Tree, levels: int = 4) -> int:
@@ -312,27 +309,28 @@ def simple_tree_matching(a: tuple[list[int], list[int]], b: tuple[list[int], lis
     return pairs
 
 
-def candidates(tree: _Tree) -> list[tuple[int, str]]:
-    """Blocks that may be content: of the article, else of main, else of the page, that aren't marked off. (element, text)"""
-    live = [(at, text) for at, text in tree.blocks if not tree.dropped[at]]
+def candidates(tree: _Tree) -> list[int]:
+    """Numbers of the blocks that may be content: of the article, else of main, else of the page, that aren't marked off."""
+    live = [k for k, (at, _) in enumerate(tree.blocks) if not tree.dropped[at]]
     for inside in (tree.in_article, tree.in_main):
-        if any(inside[at] for at, _ in live):
-            return [(at, text) for at, text in live if inside[at]]
+        if any(inside[tree.blocks[k][0]] for k in live):
+            return [k for k in live if inside[tree.blocks[k][0]]]
     return live
 
 
-def constant_blocks(reference: tuple[list[int], list[int], list[list[int]]], page: tuple[list[int], list[int], list[list[int]]]) -> list[int]:
-    """Blocks of the reference that the page has in the aligned node."""
-    if not {x for own in reference[2] for x in own} & {x for own in page[2] for x in own}:
+def constant_blocks(reference: tuple[list[int], ...], page: tuple[list[int], ...]) -> list[int]:
+    """Blocks of the reference that the page has in the aligned node; both as skeleton() gives them."""
+    if not set(reference[3]) & set(page[3]):
         return []  # whatever is aligned with what, no block is constant
-    out = []
-    for i, j in simple_tree_matching(reference[:2], page[:2]):
-        if reference[2][i] and page[2][j]:
-            out += (Counter(reference[2][i]) & Counter(page[2][j])).keys()
-    return sorted(set(out))
+    held: list[dict[int, set[int]]] = [{}, {}]
+    for own, (_, _, at, prints) in zip(held, (reference, page), strict=True):
+        for a, x in zip(at, prints, strict=True):
+            own.setdefault(a, set()).add(x)
+    return sorted({x for i, j in simple_tree_matching(reference[:2], page[:2]) if i in held[0] and j in held[1] for x in held[0][i] & held[1][j]})
 
 
-_PARSED = "host string, layout long, parents array<int>, tags array<int>, texts array<array<bigint>>, prints array<bigint>, blocks array<string>"
+_BONES = ("parents", "tags", "places", "prints")
+_PARSED = "host string, layout long, parents array<int>, tags array<int>, places array<int>, prints array<bigint>, live array<int>, blocks array<string>"
 
 
 def extract_main_text(pages: DataFrame, least_pages: int = 3, constant_share: float = 0.6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -357,29 +355,28 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3, constant_share: fl
     def parsed(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
-                part, cols = batch.slice(start, 100), [[] for _ in range(6)]
+                part, cols = batch.slice(start, 100), [[] for _ in range(7)]
                 for html in part.column("html").to_pylist():
                     tree = parse(html or "")
                     live = candidates(tree)
-                    for c, v in zip(cols, (layout(tree), *skeleton(tree), [tree.fingerprint(at, x) for at, x in live], [x for _, x in live]), strict=True):
+                    for c, v in zip(cols, (layout(tree), *skeleton(tree), live, [tree.blocks[k][1] for k in live]), strict=True):
                         c.append(v)
-                kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.string())]
-                names = ["page_id", "url", "host", "layout", "parents", "tags", "texts", "prints", "blocks"]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+                ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+                kinds = [pa.int64(), ints, ints, ints, longs, ints, pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["page_id", "url", "host", "layout", *_BONES, "live", "blocks"])
 
     seen = materialise(read.withColumn("host", host).mapInArrow(parsed, f"page_id {kind}, url string, {_PARSED}"))
     # Copies of a page, of which there may be very many, are one. Hosts deal their pages out by their own digest.
-    bones = seen.select("host", "layout", "parents", "tags", "texts", F.xxhash64("parents", "tags", "texts").alias("digest"))
-    own = bones.dropDuplicates(["host", "digest"])
-    # Scope 0 is a host's pages, the others its layouts'.
-    scoped = materialise(own.withColumn("scope", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), "layout")))).drop("layout"))
+    own = materialise(seen.select("host", "layout", *_BONES, F.xxhash64(*_BONES).alias("digest")).dropDuplicates(["host", "digest"]))
+    # Scope 0 is a host's pages; where a host has several layouts, each is a scope too.
+    several = own.groupBy("host", "layout").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("layouts")).filter("layouts > 1").select("host")
+    scoped = own.withColumn("scope", F.lit(0).cast("long")).unionByName(own.join(several, "host", "left_semi").withColumn("scope", F.col("layout"))).drop("layout")
     counted = scoped.groupBy("host", "scope").agg(F.count(F.lit(1)).alias("n_pages"), F.min("digest").alias("digest")).filter(F.col("n_pages") >= least_pages)
-    model = counted.join(scoped, ["host", "scope", "digest"]).select("host", "scope", "n_pages", F.col("parents").alias("r_parents"), F.col("tags").alias("r_tags"), F.col("texts").alias("r_texts"))
+    model = counted.join(scoped, ["host", "scope", "digest"]).select("host", "scope", "n_pages", *(F.col(c).alias(f"r_{c}") for c in _BONES))
 
     def align(batches):
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("r_parents", "r_tags", "r_texts", "parents", "tags", "texts")}
-            same = [constant_blocks((rp, rt, rx), (p, t, x)) for rp, rt, rx, p, t, x in zip(*c.values(), strict=True)]
+            same = [constant_blocks(x[:4], x[4:]) for x in zip(*(batch.column(c).to_pylist() for c in (*(f"r_{c}" for c in _BONES), *_BONES)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("scope"), batch.column("n_pages"), pa.array(same, pa.list_(pa.int64()))], names=["host", "scope", "n_pages", "same"])
 
     agreed = scoped.join(model, ["host", "scope"]).mapInArrow(align, "host string, scope long, n_pages long, same array<bigint>")
@@ -388,7 +385,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3, constant_share: fl
     wrapper = materialise(constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("scope", "template"))).alias("wrapper")))
 
     # The wrapper of a host is a bounded row (its reference's blocks), and pages without any stay where they are.
-    text = F.concat_ws("\n", F.transform(F.filter(F.arrays_zip("prints", "blocks"), lambda b: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), b["prints"])), lambda b: b["blocks"]))
+    kept = F.filter(F.arrays_zip("live", "blocks"), lambda b: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), F.get("prints", b["live"])))
+    text = F.concat_ws("\n", F.transform(kept, lambda b: b["blocks"]))
     mine = F.flatten(F.transform(F.filter("wrapper", lambda w: (w["scope"] == 0) | (w["scope"] == F.col("layout"))), lambda w: w["template"]))
-    out = seen.select("page_id", "url", "host", "layout", "prints", "blocks").join(wrapper, "host", "left").withColumn("template", mine).withColumn("text", text)
+    out = seen.select("page_id", "url", "host", "layout", "prints", "live", "blocks").join(wrapper, "host", "left").withColumn("template", mine).withColumn("text", text)
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -149,7 +149,7 @@ PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>v
 
 def main_text(html, template=frozenset()):
     tree = html_extraction.parse(html)
-    return "\n".join(x for at, x in html_extraction.candidates(tree) if tree.fingerprint(at, x) not in template)
+    return "\n".join(x for at, x in (tree.blocks[k] for k in html_extraction.candidates(tree)) if tree.fingerprint(at, x) not in template)
 
 
 def test_html_rules():
@@ -209,7 +209,7 @@ def test_html_deep_and_wide():
     deep = html_extraction.parse("<div>" * 20_000 + "x")
     wide = html_extraction.parse("<ul>" + "".join(f"<li>{i}" if i % 3 else "<p>q</p>" for i in range(9000)) + "</ul>")
     other = html_extraction.parse("<ul>" + "".join(f"<li>{i}" if i % 5 else "<p>q</p>" for i in range(8000)) + "</ul>")
-    assert html_extraction.candidates(deep) == [(20_000, "x")]
+    assert html_extraction.candidates(deep) == [0] and deep.blocks == [(20_000, "x")]
     for x, y in ((deep, deep), (wide, other)):
         a, b = html_extraction.skeleton(x), html_extraction.skeleton(y)
         assert len(html_extraction.simple_tree_matching(a[:2], b[:2])) > 5000
