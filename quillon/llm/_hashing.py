@@ -125,6 +125,14 @@ def distinct_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
+def range_digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each buf[start:end], which may overlap, as two 64-bit halves."""
+    view = memoryview(np.ascontiguousarray(buf))
+    raw = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def digests(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of BLAKE2b of each value, as two 64-bit halves."""
     raw = b"".join(hashlib.blake2b(v, digest_size=16).digest() for v in values)

@@ -14,8 +14,8 @@ What is left differs, if at all, in the ends that stick out of the run. Runs who
 ends agree too are repeated as a whole; only where one run has several different
 ends are the strings themselves compared, offset by offset.
 
-Identifiers are fingerprints (64 bits to refine, 122 bits modulo a prime to decide),
-so that a bucket is refined without renumbering all others. Strings without a sample
+Identifiers are fingerprints (61 bits modulo a prime to refine, 128 bits of BLAKE2b to
+decide), so that a bucket is refined without renumbering all others. Strings without a sample
 go straight to the last comparison. A block of documents asks about each distinct
 identifier once.
 """
@@ -139,15 +139,12 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
                 chain = np.where(more, H.combine(chain, identifier[at]), chain)
             run[mine] = H.combine(chain, identifier[b])
         i, j, s_low, s_high, run = i[ok], j[ok], s_low[ok], s_high[ok], run[ok]
-        gram = H.byte_fingerprints(buf, x[i], x[i] + GRAM, 4, GRAM)
+        gram = np.ndarray((max(0, len(buf) - GRAM + 1),), "<u8", np.ascontiguousarray(buf), strides=(1,))[x[i]] if len(i) else run
         run = H.combine(H.combine(run, gram), (j - i).astype(np.uint64))
         start, end = x[i] - s_high, x[i] - s_low + length
         order = np.argsort(start, kind="stable")
         run, s_low, s_high, start, end = (a[order] for a in (run, s_low, s_high, start, end))
-        exact = []
-        for seed in (0, 1):
-            h = H.byte_fingerprints(buf, start, end, seed, length + inner)
-            exact.append(H.combine(h, (s_low * 1024 + s_high).astype(np.uint64)))
+        exact = [H.combine(h, (s_low * 1024 + s_high).astype(np.uint64)) for h in H.range_digests(buf, start, end)]
         first, group, size = B.grouped(run, *exact)
         return buf, offs, x, doc, (start, end, s_high - s_low), (run[first], exact[0][first], exact[1][first]), first, group, size
 
@@ -197,7 +194,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, sample: int = 64
         after[np.append(text[1:] != text[:-1], True)] = _FAR
         bare, _ = _expand(edge + 1, np.minimum(after - inner - 1, offs[text + 1] - length))
         p = np.sort(np.concatenate([p, bare]))
-        h = [H.byte_fingerprints(buf, p, p + length, seed, length) for seed in (2, 3)]
+        h = H.range_digests(buf, p, p + length)
         one, back, size = B.grouped(*h)
         return buf, offs, (start[known], end[known]), p, (h[0][one], h[1][one]), back, size
 
