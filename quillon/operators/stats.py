@@ -143,3 +143,127 @@ def detrend(df: DataFrame, by: list[str], time: str, value: str, batch: str) ->
     fit = ols(d, by, value, ["_t", "_t2"], ["_b1", "_b2"]).drop("n")
     r = d.join(fit, by).withColumn("_trend", F.col("intercept") + F.col("_b1") * F.col("_t") + F.col("_b2") * F.col("_t2")).withColumn("_r", F.col(value) - F.col("_trend"))
     return r.withColumn("adjusted", F.col("_trend") + F.col("_r") - F.avg("_r").over(Window.partitionBy(*by, batch))).drop("_t", "_t2", "intercept", "_b1", "_b2", "_trend", "_r")
+
+
+def explained_variance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(component, share, cumulative) of principal components. The moments, one row of len(columns) squared sums, are
+    taken in Spark; their eigenvalues on the driver."""
+    import numpy as np
+
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = df.agg(*(F.covar_samp(columns[i], columns[j]) for i, j in pairs)).first()
+    cov = np.zeros((len(columns), len(columns)))
+    for (i, j), v in zip(pairs, row, strict=True):
+        cov[i, j] = cov[j, i] = v or 0.0
+    values = np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None)
+    share = values / (values.sum() or 1.0)
+    return df.sparkSession.createDataFrame([(k + 1, float(a), float(b)) for k, (a, b) in enumerate(zip(share, np.cumsum(share), strict=True))], "component long, share double, cumulative double")
+
+
+def correlation_edges(long: DataFrame, entity: str, feature: str, value: str, least: int = 10, strength: float = 0.3, alpha: float = 0.05) -> DataFrame:
+    """Pairs of features that correlate by at least `strength` with p under alpha, from at least `least` shared entities."""
+    c = correlations(long, entity, feature, value, least).filter(F.abs("r") >= strength)
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
+    return c.withColumn("p", special.t_p(t, (F.col("n") - 2).cast("double"))).filter(F.col("p") < alpha)
+
+
+def sobel(df: DataFrame, by: list[str], x: str, m: str, y: str) -> DataFrame:
+    """Sobel's z of the indirect effect of x on y through m: a * b by its standard error, from one pass of sums."""
+    n, c = F.count(F.lit(1)), F.covar_pop
+    g = df.groupBy(*by).agg(n.alias("n"), *(c(a, b).alias(k) for k, a, b in (("_xx", x, x), ("_mm", m, m), ("_yy", y, y), ("_xm", x, m), ("_xy", x, y), ("_my", m, y))))
+    k = F.col
+    a = k("_xm") / k("_xx")
+    det = k("_xx") * k("_mm") - k("_xm") * k("_xm")
+    b, direct = (k("_my") * k("_xx") - k("_xy") * k("_xm")) / det, (k("_xy") * k("_mm") - k("_my") * k("_xm")) / det
+    rest_m = (k("_mm") - a * k("_xm")) * k("n") / (k("n") - 2)
+    rest_y = (k("_yy") - b * k("_my") - direct * k("_xy")) * k("n") / (k("n") - 3)
+    va, vb = rest_m / (k("n") * k("_xx")), rest_y * k("_xx") / (k("n") * det)
+    return g.select(*by, a.alias("a"), b.alias("b"), (a * b).alias("indirect"), F.sqrt(a * a * vb + b * b * va).alias("se"), (a * b / F.sqrt(a * a * vb + b * b * va)).alias("z"))
+
+
+def egger(df: DataFrame, by: list[str], exposure: str, outcome: str, se: str) -> DataFrame:
+    """Egger regression of outcome effects on exposure effects over instruments, weighted by 1 / se**2, exposure effects
+    made positive: slope (effect), intercept (directional pleiotropy) and the number of instruments; and the
+    inverse-variance weighted estimate, which has no intercept."""
+    sign = F.when(F.col(exposure) < 0, -1.0).otherwise(1.0)
+    w, x, y = 1 / (F.col(se) * F.col(se)), F.abs(exposure), F.col(outcome) * sign
+    d = df.select(*by, w.alias("_w"), x.alias("_x"), y.alias("_y"))
+    s = lambda e: F.sum(e)
+    w, x, y = F.col("_w"), F.col("_x"), F.col("_y")
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), s(w).alias("_sw"), s(w * x).alias("_sx"), s(w * y).alias("_sy"), s(w * x * x).alias("_xx"), s(w * x * y).alias("_xy"))
+    k = F.col
+    slope = (k("_sw") * k("_xy") - k("_sx") * k("_sy")) / (k("_sw") * k("_xx") - k("_sx") * k("_sx"))
+    return g.select(*by, "n", slope.alias("slope"), ((k("_sy") - slope * k("_sx")) / k("_sw")).alias("intercept"), (k("_xy") / k("_xx")).alias("ivw"))
+
+
+def impute_nearest(df: DataFrame, key: str, columns: list[str], donors: DataFrame, k: int = 5) -> DataFrame:
+    """Missing values of df from the k nearest donors (a bounded reference table without missing values, at most
+    100,000 rows): the distance is the root mean square over the columns that a row has, the value the donors' mean.
+    A row without any value gets the donors' means."""
+    import numpy as np
+    import pyarrow as pa
+
+    limit = 100_000
+    known = donors.select(key, *columns).orderBy(key).limit(limit + 1).toPandas()
+    if len(known) > limit:
+        raise ValueError(f"over {limit} donors: sample them, or impute by groups")
+    ref = known[columns].to_numpy(float)
+
+    def fill(batches):
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1) if batch.num_rows else np.zeros((0, len(columns)))
+            for i in np.flatnonzero(np.isnan(x).any(1)):
+                has = ~np.isnan(x[i])
+                near = np.argsort(np.sqrt(((ref[:, has] - x[i, has]) ** 2).mean(1)), kind="stable")[:k] if has.any() else np.arange(len(ref))
+                x[i, ~has] = ref[near][:, ~has].mean(0)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x[:, j]) for j in range(len(columns)))], names=[key, *columns])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(fill, f"{key} {kind}, " + ", ".join(f"{c} double" for c in columns))
+
+
+def impute_chained(df: DataFrame, key: str, columns: list[str], rounds: int = 3, delta: float = 0.0, shifted: list[str] | None = None) -> DataFrame:
+    """Multiple imputation's deterministic core, chained equations: missing values begin as means; in each round every
+    column is regressed on the others over the rows that have it (sums in Spark, one row of coefficients) and predicted
+    where it is missing. delta is added to the imputed values of `shifted` columns (not missing at random)."""
+    import numpy as np
+
+    means = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    now = df.select(key, *(F.col(c).cast("double").alias(f"_{c}") for c in columns)).withColumns({c: F.coalesce(F.col(f"_{c}"), F.lit(means[c])) for c in columns})
+    for _ in range(rounds):
+        for c in columns:
+            others = [o for o in columns if o != c]
+            names = ["_one", *others, c]
+            full = now.filter(F.col(f"_{c}").isNotNull()).withColumn("_one", F.lit(1.0))
+            pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+            row = full.agg(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs)).first()
+            s = np.zeros((len(names), len(names)))
+            for (i, j), v in zip(pairs, row, strict=True):
+                s[i, j] = s[j, i] = v or 0.0
+            beta = np.linalg.lstsq(s[:-1, :-1], s[:-1, -1], rcond=None)[0]
+            predicted = sum((F.col(o) * float(b) for o, b in zip(others, beta[1:], strict=True)), F.lit(float(beta[0])))
+            now = now.withColumn(c, F.coalesce(F.col(f"_{c}"), predicted))
+    shift = {c: F.when(F.col(f"_{c}").isNull(), F.col(c) + delta).otherwise(F.col(c)) for c in (shifted or [])}
+    return (now.withColumns(shift) if shift else now).select(key, *columns)
+
+
+def little_statistic(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Little's test that values are missing completely at random: (statistic, df, patterns). Patterns of missing
+    columns, at most 2**len(columns), and their means are aggregated in Spark; means and covariances are those of the
+    rows that have them."""
+    import numpy as np
+
+    flags = F.concat(*(F.col(c).isNull().cast("int").cast("string") for c in columns))
+    rows = df.groupBy(flags.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in columns)).collect()
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    moments = df.agg(*(F.avg(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) for i, j in pairs)).first()
+    mean, cov = np.array([m or 0.0 for m in moments[: len(columns)]]), np.zeros((len(columns), len(columns)))
+    for (i, j), v in zip(pairs, moments[len(columns) :], strict=True):
+        cov[i, j] = cov[j, i] = v or 0.0
+    stat, free = 0.0, -len(columns)
+    for r in rows:
+        at = [i for i, c in enumerate(r["pattern"]) if c == "0"]
+        if at:
+            d = np.array([r[columns[i]] for i in at]) - mean[at]
+            stat, free = stat + r["n"] * float(d @ np.linalg.pinv(cov[np.ix_(at, at)]) @ d), free + len(at)
+    return df.sparkSession.createDataFrame([(stat, free, len(rows))], "statistic double, df long, patterns long")

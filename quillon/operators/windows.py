@@ -5,6 +5,8 @@ Every window is partitioned by an entity; none orders a whole table in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +57,51 @@ def successive(df: DataFrame, keys: list[str], order: list[str], value: str) ->
 
 
 def sleep_scores(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Adds sadeh (11-epoch centred frame, shrinking at the edges) and cole (8 weighted taps, missing ones 0) scores."""
+    """Adds sadeh and sadeh_asleep (a score over 11 epochs centred, shrinking at the edges; asleep from 0), and
+    cole and cole_asleep (a logistic probability of 8 weighted epochs from -2 to 5, missing ones 0; asleep from .5)."""
     w = by(keys, order)
     frame = w.rowsBetween(-5, 5)
     x = F.col(value)
-    nat = F.sum(((x >= 50) & (x < 100)).cast("int")).over(frame)
+    active = F.sum((x >= 50).cast("int")).over(frame)
     sixth = F.element_at(F.collect_list(value).over(frame), F.least(F.lit(6), F.count(F.lit(1)).over(frame)).cast("int"))
-    sadeh = 7.601 - 0.065 * F.avg(value).over(frame) - 1.08 * nat - 0.056 * F.stddev_pop(value).over(frame) - 0.703 * F.log(sixth + 1)
-    taps = {-2: 0.04, -1: 0.08, 0: 0.23, 1: 0.16, 2: 0.12, 3: 0.08, 4: 0.05, 5: 0.03}
+    sadeh = 7.601 - 0.065 * active - 0.056 * F.avg(value).over(frame) - 0.703 * F.stddev_pop(value).over(frame) - 1.08 * F.log(sixth + 1)
+    # The weights of the epochs from -2 to 5.
+    taps = {-2: 0.00001, -1: 0.04, 0: 1.0, 1: 0.04, 2: 0.0001, 3: 0.0001, 4: 0.0004, 5: 0.02}
     at = lambda k: x if k == 0 else (F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w))
-    cole = sum((F.coalesce(at(k), F.lit(0.0)) * c for k, c in taps.items()), F.lit(0.0))
-    return df.withColumn("sadeh", sadeh).withColumn("cole", cole)
+    index = sum((F.coalesce(at(k), F.lit(0.0)) * c for k, c in taps.items()), F.lit(0.0)) / 100
+    scored = df.withColumn("sadeh", sadeh).withColumn("cole", 1 / (1 + F.exp(0.37 - 0.73 * index)))
+    return scored.withColumn("sadeh_asleep", F.col("sadeh") >= 0).withColumn("cole_asleep", F.col("cole") >= 0.5)
+
+
+def sleep_periods(df: DataFrame, keys: list[str], order: list[str], asleep: Column, epoch_minutes: float, least_minutes: float = 180) -> DataFrame:
+    """Periods of sleep with both edges seen: onset (first row asleep), offset (first row awake after it), counted
+    from 0, and minutes. A run that begins with the first or ends with the last row has an edge unseen."""
+    w = by(keys, order)
+    marked = df.select(*keys, *(c for c in order if c not in keys), asleep.alias("_f")).withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    runs = marked.withColumn("_g", F.col("_n") - F.row_number().over(by([*keys, "_f"], order))).filter("_f")
+    found = runs.groupBy(*keys, "_g").agg((F.min("_n") - 1).cast("long").alias("onset"), F.max("_n").cast("long").alias("offset"), F.first("_all").alias("_all")).filter("onset > 0 and offset < _all")
+    return found.withColumn("minutes", (F.col("offset") - F.col("onset")) * epoch_minutes).filter(F.col("minutes") >= least_minutes).drop("_g", "_all")
+
+
+def sleep_quality(df: DataFrame, keys: list[str], order: list[str], value: str, asleep: Column, epoch_minutes: float, sustained: int = 10) -> DataFrame:
+    """Of each entity's longest period (the first of equals): tst, tib, se, waso, sol (to the first `sustained` rows
+    asleep on end, else 0), awakenings of at least a minute, and sfi (transitions and the percentage of rows above the
+    entity's 90th percentile, by 100)."""
+    longest = sleep_periods(df, keys, order, asleep, epoch_minutes).groupBy(*keys).agg(F.min_by(F.struct("onset", "offset"), F.struct(-F.col("minutes"), F.col("onset"))).alias("_p")).select(*keys, "_p.*")
+    w = by(keys, order)
+    top = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.9)).alias("_top"))
+    marked = df.withColumn("_f", asleep).withColumn("_n", (F.row_number().over(w) - 1).cast("long")).join(longest, keys).filter("_n >= onset and _n < offset").join(top, keys)
+    ahead = w.rowsBetween(0, sustained - 1)
+    fell = (F.min(F.col("_f").cast("int")).over(ahead) == 1) & (F.col("_n") < F.col("offset") - sustained)
+    runs = marked.withColumn("_fell", fell).withColumn("_was", F.lag("_f").over(w)).withColumn("_woken", F.count_if(F.col("_f")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    wake = runs.filter("not _f").groupBy(*keys, "_woken").agg(F.count(F.lit(1)).alias("_len"), F.max("_n").alias("_end"), F.first("offset").alias("_off")).filter((F.col("_len") * epoch_minutes >= 1) & (F.col("_end") < F.col("_off") - 1)).groupBy(*keys).agg(F.count(F.lit(1)).alias("awakenings"))
+    n, slept = F.count(F.lit(1)), F.count_if("_f")
+    moving = F.count_if(F.col(value) > F.col("_top")) / n * 100
+    out = runs.groupBy(*keys).agg(
+        (slept * epoch_minutes).alias("tst"), (n * epoch_minutes).alias("tib"), (slept / n * 100).alias("se"), ((n - slept) * epoch_minutes).alias("waso"),
+        F.coalesce((F.min(F.when(F.col("_fell"), F.col("_n"))) - F.min("onset")) * epoch_minutes, F.lit(0.0)).alias("sol"), ((F.count_if(F.col("_f") != F.col("_was")) + moving) / 100).alias("sfi"),
+    )
+    return out.join(wake, keys, "left").fillna(0, ["awakenings"])
 
 
 def rhythm(hourly: DataFrame, keys: list[str], hour: str, order: str, value: str) -> DataFrame:
@@ -107,7 +143,48 @@ def enrichment(ranked: DataFrame, keys: list[str], score: str, member: str, tie:
     hit = F.sum(weight).over(down) / F.nullif(F.sum(weight).over(w), F.lit(0.0))
     miss = F.sum(F.when(F.col(member), 0).otherwise(1)).over(down) / F.nullif(F.sum(F.when(F.col(member), 0).otherwise(1)).over(w), F.lit(0))
     run = ranked.withColumn("_r", hit - miss).withColumn("_n", F.row_number().over(by(keys, [F.desc(score), tie])))
-    return run.groupBy(*keys).agg(F.max_by(F.struct(F.col("_r").alias("es"), F.col("_n").alias("at")), F.struct(F.abs("_r"), -F.col("_n"))).alias("_e")).select(*keys, "_e.*")
+    peak = F.max_by(F.struct(F.col("_r").alias("es"), F.col("_n").alias("at")), F.struct(F.abs("_r"), -F.col("_n"))).over(w)
+    met = run.withColumn("_e", peak).withColumn("_lead", F.col(member) & F.when(F.col("_e.es") >= 0, F.col("_n") <= F.col("_e.at")).otherwise(F.col("_n") > F.col("_e.at")))
+    return met.groupBy(*keys).agg(F.first("_e").alias("_e"), F.count_if("_lead").alias("leading")).select(*keys, "_e.*", "leading")
+
+
+MOST_RANKED = 500_000
+
+
+def running_sums(weights: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Enrichment scores of sets given as rows of ascending positions among n ranked items."""
+    hits = np.cumsum(weights[at], 1)
+    total = hits[:, -1:]
+    hits = np.divide(hits, total, out=np.zeros_like(hits), where=total > 0)
+    misses = (at - np.arange(at.shape[1])) / max(1, n - at.shape[1])
+    above = hits - misses
+    below = np.concatenate([np.zeros((len(at), 1)), hits[:, :-1]], 1) - misses
+    high, low = above.max(1), np.minimum(below.min(1), 0)
+    return np.where(np.abs(low) > high, low, high)
+
+
+def preranked(members: DataFrame, item: str, score: str, name: str, permutations: int = 1000, seed: int = 1) -> DataFrame:
+    """(set, size, es, nes, p) of each set of items among all items of members, ranked by score: nes is es by the mean of
+    random sets' scores of its sign, p their share that is as extreme. The ranking (at most MOST_RANKED items) is sent
+    to all tasks; sets are dealt out."""
+    spark = members.sparkSession
+    ranked = members.groupBy(item).agg(F.max(score).alias(score)).orderBy(F.desc(score), item).limit(MOST_RANKED + 1).toPandas()
+    if len(ranked) > MOST_RANKED:
+        raise ValueError(f"over {MOST_RANKED} ranked items")
+    held = spark.sparkContext.broadcast((np.abs(ranked[score].to_numpy(float)), {v: i for i, v in enumerate(ranked[item].tolist())}))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        weights, place = held.value
+        at = np.sort(pdf[item].map(place).unique())
+        es = float(running_sums(weights, at[None], len(weights))[0])
+        rng = np.random.default_rng([seed, len(at)])
+        drawn = np.concatenate([running_sums(weights, np.sort(rng.permutation(len(weights))[: len(at)])[None], len(weights)) for _ in range(permutations)])
+        same = drawn[drawn >= 0] if es >= 0 else drawn[drawn < 0]
+        nes = es / abs(same.mean()) if len(same) and same.mean() else 0.0
+        p = (np.abs(same) >= abs(es)).mean() if len(same) else 1.0
+        return pd.DataFrame({name: [pdf[name].iloc[0]], "size": [len(at)], "es": [es], "nes": [nes], "p": [float(p)]})
+
+    return members.select(item, name).groupBy(name).applyInPandas(one, f"{name} string, size long, es double, nes double, p double")
 
 
 def ranks(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:

@@ -178,11 +178,12 @@ def a17(spark, sf):
     return p.select("user_id", F.round(F.when(F.col("error") > 0, F.col("click") / F.col("error")), 6).alias("click_error"))
 
 
-@query("A18_capped_burden", "WITH s AS (SELECT l_suppkey, 0.5 * least(avg(l_quantity) / 30, 1.0) + 0.5 * least(avg(l_discount) / 0.1, 1.0) AS b FROM lineitem GROUP BY 1) SELECT l_suppkey, round(b, 6) AS burden, CASE WHEN b > 0.7 THEN 'high' WHEN b > 0.4 THEN 'moderate' ELSE 'low' END AS category FROM s")
+@query("A18_capped_burden", "WITH s AS (SELECT l_orderkey, 0.3 * sum(l_quantity) / 100 + 0.25 * least(avg(l_extendedprice) / 10000, 1.0) AS b FROM lineitem GROUP BY 1) SELECT l_orderkey, round(b, 6) AS burden, CASE WHEN b > 0.7 THEN 'high' WHEN b > 0.4 THEN 'medium' ELSE 'low' END AS category FROM s")
 def a18(spark, sf):
-    b = 0.5 * F.least(F.avg("l_quantity") / 30, F.lit(1.0)) + 0.5 * F.least(F.avg("l_discount") / 0.1, F.lit(1.0))
-    s = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(b.alias("b"))
-    return s.select("l_suppkey", F.round("b", 6).alias("burden"), F.when(F.col("b") > 0.7, "high").when(F.col("b") > 0.4, "moderate").otherwise("low").alias("category"))
+    # Air quality by 100, uncapped, weighs 0.3; releases by 10,000, capped at 1, weigh 0.25.
+    b = 0.3 * F.sum("l_quantity") / 100 + 0.25 * F.least(F.avg("l_extendedprice") / 10000, F.lit(1.0))
+    s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(b.alias("b"))
+    return s.select("l_orderkey", F.round("b", 6).alias("burden"), F.when(F.col("b") > 0.7, "high").when(F.col("b") > 0.4, "medium").otherwise("low").alias("category"))
 
 
 @query("A19_windowed_exposure", "SELECT user_id, round(avg(value) FILTER (WHERE hour(ts) < 8), 6) AS night_mean, max(value) FILTER (WHERE hour(ts) < 8) AS night_max, round(avg(value) FILTER (WHERE hour(ts) >= 8), 6) AS day_mean FROM events GROUP BY 1")
@@ -273,9 +274,9 @@ def a27(spark, sf):
     return M.calibration(p, "p", "y").select(*(F.round(c, 6).alias(c) for c in ("ece", "mce", "brier")))
 
 
-@query("A28_completeness", "SELECT o_orderkey, round(((o_totalprice > 100000)::INT + (o_custkey > 100)::INT + (o_orderstatus = 'F')::INT) / 3.0, 6) AS score FROM orders")
+@query("A28_completeness", "SELECT o_orderkey, round(((o_totalprice > 100000)::INT + (o_custkey > 100)::INT + (o_orderstatus = 'F')::INT + (o_orderdate IS NOT NULL)::INT + (o_orderpriority LIKE '1%')::INT + (o_orderkey % 2 = 0)::INT) / 6.0, 6) AS score FROM orders")
 def a28(spark, sf):
-    flags = [F.col("o_totalprice") > 100000, F.col("o_custkey") > 100, F.col("o_orderstatus") == "F"]
+    flags = [F.col("o_totalprice") > 100000, F.col("o_custkey") > 100, F.col("o_orderstatus") == "F", F.col("o_orderdate").isNotNull(), F.col("o_orderpriority").startswith("1"), F.col("o_orderkey") % 2 == 0]
     return table(spark, sf, "orders").select("o_orderkey", F.round(sum((f.cast("int") for f in flags), F.lit(0)) / len(flags), 6).alias("score"))
 
 

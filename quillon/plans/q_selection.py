@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import semantics as S
 from quillon.operators import stats as M
+from quillon.operators import density
 from quillon.registry import query
 from quillon.sources.tables import table
 
@@ -26,11 +27,15 @@ def projector(spark, sf):
     return w.groupBy("vec_id").agg(F.min_by("c", F.struct("d", "c")).alias("projected"), F.round(F.max("p"), 6).alias("confidence"))
 
 
-@query("M16_vote_confidence", "WITH v AS (SELECT vec_id, unnest([label, vec_id % 3, label]) AS l FROM embeddings), n AS (SELECT vec_id, l, count(*) n FROM v GROUP BY ALL) SELECT vec_id, arg_max(l, (n, -l)) AS label, round(max(n) / sum(n), 6) AS confidence FROM n GROUP BY 1")
+@query(
+    "M16_vote_confidence",
+    "WITH v AS (SELECT vec_id, unnest([label, (embedding[1] > 0)::INT * 2 + (embedding[2] > 0)::INT, (embedding[3] > 0)::INT * 2 + (embedding[4] > 0)::INT]) AS l FROM embeddings), n AS (SELECT vec_id, l, count(*) n FROM v GROUP BY ALL) SELECT vec_id, arg_max(l, (n, -l)) AS label, round(max(n) / sum(n), 6) AS confidence FROM n GROUP BY 1",
+)
 def votes(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", F.explode(F.array(F.col("label").cast("long"), F.col("vec_id") % 3, F.col("label").cast("long"))).alias("l"))
-    n = v.groupBy("vec_id", "l").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("vec_id").agg(F.max_by("l", F.struct("n", -F.col("l"))).alias("label"), F.round(F.max("n") / F.sum("n"), 6).alias("confidence"))
+    """The most frequent label of three given partitions: labels, and signs of two pairs of components."""
+    up = lambda k: (F.col("embedding")[k] > 0).cast("int")
+    runs = table(spark, sf, "embeddings").select("vec_id", F.explode(F.array("label", up(0) * 2 + up(1), up(2) * 2 + up(3))).alias("l"))
+    return density.vote(runs, "vec_id", "l").select("vec_id", "label", F.round("confidence", 6).alias("confidence"))
 
 
 @query("M22_stability_selection")

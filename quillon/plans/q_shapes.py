@@ -107,9 +107,15 @@ def r5(spark, sf):
     return dummies(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"), "l_returnflag").drop("l_returnflag")
 
 
+MOST_LEVELS = 1000
+
+
 def dummies(df: DataFrame, column: str, drop_first: bool = True) -> DataFrame:
     """One 0/1 column a level in sorted order; by default without the first level. The levels are columns, so few."""
-    levels = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+    found = df.select(column).distinct().limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"over {MOST_LEVELS} levels of {column}")
+    levels = sorted(r[0] for r in found if r[0] is not None)
     return df.withColumns({f"{column}_{v}": (F.col(column) == v).cast("int") for v in levels[1 if drop_first else 0 :]})
 
 
@@ -128,33 +134,73 @@ def ignore(spark, sf):
     return sinks.upsert(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], replace=False).select("o_custkey", "o_orderkey")
 
 
-_SQL = {
-    "Q3_dynamic_conjunction": "SELECT c_custkey FROM customer WHERE 1 = 1 AND c_mktsegment = 'BUILDING' AND c_acctbal >= 1000 ORDER BY c_custkey",
-    "Q4_child_lookups": "SELECT c_custkey, count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_orderpriority) AS priorities, max(o_orderstatus) AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
-    "Q5_stats": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean_balance FROM customer GROUP BY c_mktsegment",
-    "Q6_ordered_export": "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_regionkey, n_name",
-    "Q7_completeness_matrix": "SELECT c_custkey, CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END + CASE WHEN c_nationkey > 10 THEN 1 ELSE 0 END AS INT) AS flags FROM customer ORDER BY flags DESC, c_custkey",
-    "Q9_or_join": "SELECT DISTINCT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3 OR r_name = 'ASIA'",
-    "Q10_union": "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9000",
-    "Q11_like_ignores_case": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED%'",
-    "Q12_catalog_search": "SELECT DISTINCT p_partkey, p_brand FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) k ON p_partkey = l_partkey WHERE p_type ILIKE '%econ%' OR l_partkey IS NOT NULL",
-    "C1_cte_top_region": "WITH t AS (SELECT n_regionkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey) SELECT r_name, n FROM t JOIN region ON k = r_regionkey WHERE n > 0",
-}
+def search(df: DataFrame, conditions: dict) -> DataFrame:
+    """Rows that meet all given conditions: column to value, or to (comparison, value). None leaves a condition out."""
+    compare = {"=": lambda c, v: c == v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
+    for name, want in conditions.items():
+        if want is not None:
+            how, value = want if isinstance(want, tuple) else ("=", want)
+            df = df.filter(compare[how](F.col(name), F.lit(value)))
+    return df
+
+
+def contains(column: str, part: str):
+    """SQLite's LIKE '%part%': ASCII letters match in either case."""
+    fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.contains(fold(F.col(column)), fold(F.lit(part)))
+
+
+@query("Q3_dynamic_conjunction", "SELECT c_custkey FROM customer WHERE 1 = 1 AND c_mktsegment = 'BUILDING' AND c_acctbal >= 1000 ORDER BY c_custkey")
+def q3(spark, sf):
+    return search(table(spark, sf, "customer"), {"c_mktsegment": "BUILDING", "c_acctbal": (">=", 1000), "c_nationkey": None}).select("c_custkey").orderBy("c_custkey")
+
+
+@query("Q4_child_lookups", "SELECT c_custkey, count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_orderpriority) AS priorities, max(o_orderstatus) AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def q4(spark, sf):
+    child = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.size(F.collect_set("o_orderpriority")).cast("long").alias("priorities"), F.max("o_orderstatus").alias("status"))
+    return table(spark, sf, "customer").select("c_custkey").join(child, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey").fillna(0, ["orders", "priorities"])
+
+
+@query("Q5_stats", "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean_balance FROM customer GROUP BY c_mktsegment")
+def q5(spark, sf):
+    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance"))
+
+
+@query("Q6_ordered_export", "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_regionkey, n_name")
+def q6(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_regionkey", "n_name")
+
+
+@query("Q7_completeness_matrix", "SELECT c_custkey, CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END + CASE WHEN c_nationkey > 10 THEN 1 ELSE 0 END AS INT) AS flags FROM customer ORDER BY flags DESC, c_custkey")
+def q7(spark, sf):
+    flags = [F.col("c_acctbal") > 0, F.col("c_nationkey") > 10]
+    return table(spark, sf, "customer").select("c_custkey", sum((f.cast("int") for f in flags), F.lit(0)).alias("flags")).orderBy(F.desc("flags"), "c_custkey")
+
+
+@query("Q9_or_join", "SELECT DISTINCT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3 OR r_name = 'ASIA'")
+def q9(spark, sf):
+    both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.filter((F.col("n_nationkey") == 3) | (F.col("r_name") == "ASIA")).select("n_name", "r_name").distinct()
+
+
+@query("Q10_union", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+def q10(spark, sf):
+    rich = table(spark, sf, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
+    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).unionByName(rich).distinct()
 
 
-def _sql(text: str):
-    def run(spark, sf):
-        """The statement over views named like the tables, without touching the session's own."""
-        names = [n for n in ("customer", "orders", "nation", "region", "supplier", "part", "lineitem") if n in text]
-        frames = {n: table(spark, sf, n) for n in names}
-        named = text
-        for n in names:
-            named = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}} AS {n}", named)
-        return spark.sql(named, **frames)
+@query("Q11_like_ignores_case", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED%'")
+def q11(spark, sf):
+    return table(spark, sf, "part").filter(contains("p_name", "RED")).select("p_partkey", "p_name")
 
-    return run
 
+@query("Q12_catalog_search", "SELECT DISTINCT p_partkey, p_brand FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) k ON p_partkey = l_partkey WHERE p_type ILIKE '%econ%' OR l_partkey IS NOT NULL")
+def q12(spark, sf):
+    found = table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("found", F.lit(True))
+    return table(spark, sf, "part").select("p_partkey", "p_brand", "p_type").join(found, "p_partkey", "left").filter(contains("p_type", "econ") | F.col("found")).select("p_partkey", "p_brand").distinct()
 
-for _name, _text in _SQL.items():
-    query(_name, _text)(_sql(_text))
 
+@query("C1_cte_top_region", "WITH t AS (SELECT n_regionkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey) SELECT r_name, n FROM t JOIN region ON k = r_regionkey WHERE n > 0")
+def c1(spark, sf):
+    n = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n")

@@ -55,11 +55,16 @@ def m4(spark, sf):
 
 @query(
     "M5_correlation_network",
-    """WITH v AS (SELECT user_id, event_type AS f, avg(value) AS x FROM events GROUP BY ALL) SELECT a.f AS a, b.f AS b, round(corr(a.x, b.x), 6) AS r, count(*) AS n FROM v a JOIN v b ON a.user_id = b.user_id AND a.f < b.f GROUP BY ALL HAVING count(*) >= 10""",
+    """WITH u AS (SELECT l_suppkey AS s, unnest(['l_discount', 'l_extendedprice', 'l_quantity', 'l_tax']) AS f, unnest([l_discount, l_extendedprice, l_quantity, l_tax]) AS x FROM lineitem), m AS (SELECT s, f, avg(x) AS x FROM u GROUP BY ALL),
+c AS (SELECT a.f AS a, b.f AS b, corr(a.x, b.x) AS r, count(*) AS n FROM m a JOIN m b ON a.s = b.s AND a.f < b.f GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT *, abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300)) AS t, (n - 2)::DOUBLE AS v FROM c WHERE abs(r) >= 0.3),
+g AS (SELECT *, unnest(range(4001)) AS i FROM t), p AS (SELECT a, b, any_value(r) AS r, any_value(n) AS n, greatest(0, 1 - 2 * exp(any_value(lgamma((v + 1) / 2) - lgamma(v / 2))) / sqrt(any_value(v) * pi()) * any_value(t) / 4000 / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * i / 4000) * (t * i / 4000) / v, -(v + 1) / 2))) AS p FROM g GROUP BY a, b)
+SELECT a, b, round(r, 6) AS r, n, round(p, 5) AS p FROM p WHERE p < 0.05""",
 )
 def m5(spark, sf):
-    v = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("x"))
-    return _rounded(M.correlations(v, "user_id", "event_type", "x", 10), ["a", "b", "n"], 6, "r")
+    """Edges from |r| = .3 on with p < .05."""
+    long = S.long_form(table(spark, sf, "lineitem"), ["l_suppkey"], ["l_discount", "l_extendedprice", "l_quantity", "l_tax"])
+    v = long.groupBy("l_suppkey", "feature").agg(F.avg("value").alias("x"))
+    return M.correlation_edges(v, "l_suppkey", "feature", "x").select("a", "b", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
 
 
 @query("M10_median_imputation", "WITH v AS (SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events), m AS (SELECT event_type, quantile_cont(v, 0.5) m FROM v GROUP BY 1) SELECT event_id, round(coalesce(v, m), 6) AS imputed FROM v JOIN m USING (event_type)")
@@ -187,6 +192,27 @@ def m39(spark, sf):
     return _rounded(M.mediation(d, ["k"], "x", "m", "y"), ["k"], 6, "total", "direct", "indirect")
 
 
+@query(
+    "M39_sobel",
+    """WITH d AS (SELECT l_returnflag AS k, l_quantity AS x, l_extendedprice / 1000 AS m, l_tax * 100 + l_extendedprice / 5000 AS y FROM lineitem), s AS (SELECT k, regr_slope(m, x) AS a, regr_intercept(m, x) AS a0, avg(x) AS mx FROM d GROUP BY 1), r AS (SELECT k, x, m, y, m - a0 - a * x AS mr, a, mx FROM d JOIN s USING (k)),
+t AS (SELECT k, regr_slope(y, x) AS sy, regr_intercept(y, x) AS iy FROM d GROUP BY 1), q AS (SELECT r.*, y - iy - sy * x AS yr FROM r JOIN t USING (k)), b AS (SELECT k, any_value(a) AS a, regr_slope(yr, mr) AS b, count(*) AS n, sum(mr * mr) AS sm, sum((x - mx) * (x - mx)) AS sx, sum(yr * yr) AS sy FROM q GROUP BY 1)
+SELECT k, round(a * b, 5) AS indirect, round(a * b / sqrt(a * a * ((sy - b * b * sm) / (n - 3) / sm) + b * b * (sm / (n - 2) / sx)), 3) AS z FROM b""",
+)
+def m39_sobel(spark, sf):
+    d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("m"), (F.col("l_tax") * 100 + F.col("l_extendedprice") / 5000).alias("y"))
+    return M.sobel(d, ["k"], "x", "m", "y").select("k", F.round("indirect", 5).alias("indirect"), F.round("z", 3).alias("z"))
+
+
+@query(
+    "M41_egger",
+    """WITH i AS (SELECT l_suppkey AS snp, avg(l_discount) - 0.05 AS x, avg(l_tax) - 0.04 AS y, stddev_samp(l_tax) / sqrt(count(*)) AS se FROM lineitem GROUP BY 1 HAVING count(*) > 2), o AS (SELECT abs(x) AS x, y * CASE WHEN x < 0 THEN -1 ELSE 1 END AS y, 1 / (se * se) AS w FROM i),
+m AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM o), f AS (SELECT count(*) AS n, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope, sum(w * x * y) / sum(w * x * x) AS ivw FROM o, m) SELECT n, round(slope, 5) AS slope, round(my - slope * mx, 6) AS intercept, round(ivw, 5) AS ivw FROM f, m""",
+)
+def m41_egger(spark, sf):
+    i = table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.avg("l_discount") - 0.05).alias("x"), (F.avg("l_tax") - 0.04).alias("y"), (F.stddev_samp("l_tax") / F.sqrt(F.count(F.lit(1)))).alias("se"), F.count(F.lit(1)).alias("c")).filter("c > 2")
+    return M.egger(i, [], "x", "y", "se").select("n", F.round("slope", 5).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("ivw", 5).alias("ivw"))
+
+
 @query("M41_wald_ratio", "SELECT l_returnflag AS k, round(regr_slope(l_extendedprice, l_linenumber) / regr_slope(l_quantity, l_linenumber), 2) AS wald, round(regr_r2(l_quantity, l_linenumber) / (1 - regr_r2(l_quantity, l_linenumber)) * (count(*) - 2), 5) AS f_stat FROM lineitem GROUP BY 1")
 def m41(spark, sf):
     w = M.wald_ratio(table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "k"), ["k"], "l_linenumber", "l_quantity", "l_extendedprice")
@@ -225,7 +251,7 @@ def m50(spark, sf):
     return m.join(s.toDF("x", "sx"), "x").join(s.toDF("y", "sy"), "y").select("x", "y", F.round(1 - 2 * F.col("m") / (F.col("sx") + F.col("sy")), 6).alias("distance"))
 
 
-@query("M54_conformal", "WITH e AS (SELECT abs(l_quantity - 25) AS e FROM lineitem), n AS (SELECT least(ceil((count(*) + 1) * 0.9) / count(*), 1.0) AS q FROM e) SELECT round(quantile_cont(e, 0.9), 3) AS half_width FROM e")
+@query("M54_conformal", "WITH e AS (SELECT list_sort(list(abs(l_quantity - 25))) AS e, least(ceil((count(*) + 1) * 0.9) / count(*), 1.0) AS q, count(*) AS n FROM lineitem), p AS (SELECT *, q * (n - 1) AS pos FROM e) SELECT round(e[floor(pos)::BIGINT + 1] + (pos - floor(pos)) * (e[least(floor(pos)::BIGINT + 2, n)] - e[floor(pos)::BIGINT + 1]), 3) AS half_width FROM p")
 def m54(spark, sf):
     e = table(spark, sf, "lineitem").select((F.col("l_quantity") - 25).alias("e"))
     return M.conformal_quantile(e, "e", 0.1).select(F.round("half_width", 3).alias("half_width"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import semantics as S
+from quillon.operators import stats as M
 from quillon.operators import windows as W
 from quillon.registry import query
 from quillon.sources.tables import table
@@ -76,18 +77,22 @@ def w6(spark, sf):
 
 @query(
     "W7_sadeh",
-    """SELECT event_id, round(7.601 - 0.065 * avg(value) OVER w - 1.08 * sum((value >= 50 AND value < 100)::INT) OVER w - 0.056 * stddev_pop(value) OVER w - 0.703 * ln((list(value) OVER w)[least(6, count(*) OVER w)] + 1), 6) AS sadeh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)""",
+    """WITH f AS (SELECT event_id, list(value) OVER w AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+s AS (SELECT event_id, 7.601 - 0.065 * len(list_filter(x, lambda v: v >= 50)) - 0.056 * list_avg(x) - 0.703 * list_stddev_pop(x) - 1.08 * ln(x[least(6, len(x))] + 1) AS score FROM f)
+SELECT event_id, round(score, 6) AS sadeh, score >= 0 AS asleep FROM s""",
 )
 def w7(spark, sf):
-    return W.sleep_scores(table(spark, sf, "events"), ["user_id"], ["event_id"], "value").select("event_id", F.round("sadeh", 6).alias("sadeh"))
+    return W.sleep_scores(table(spark, sf, "events"), ["user_id"], ["event_id"], "value").select("event_id", F.round("sadeh", 6).alias("sadeh"), F.col("sadeh_asleep").alias("asleep"))
 
 
 @query(
     "W8_cole_kripke",
-    """SELECT event_id, round(0.23 * value + 0.04 * coalesce(lag(value, 2) OVER w, 0) + 0.08 * coalesce(lag(value, 1) OVER w, 0) + 0.16 * coalesce(lead(value, 1) OVER w, 0) + 0.12 * coalesce(lead(value, 2) OVER w, 0) + 0.08 * coalesce(lead(value, 3) OVER w, 0) + 0.05 * coalesce(lead(value, 4) OVER w, 0) + 0.03 * coalesce(lead(value, 5) OVER w, 0), 6) AS cole FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), p AS (SELECT unnest(range(8)) AS j, unnest([0.00001, 0.04, 1.0, 0.04, 0.0001, 0.0001, 0.0004, 0.02]::DOUBLE[]) AS weight),
+a AS (SELECT x.event_id, sum(p.weight * coalesce(y.value, 0)) / 100 AS d FROM n x CROSS JOIN p LEFT JOIN n y ON y.user_id = x.user_id AND y.i = x.i + p.j - 2 GROUP BY 1)
+SELECT event_id, round(1 / (1 + exp(0.37 - 0.73 * d)), 6) AS cole, 1 / (1 + exp(0.37 - 0.73 * d)) >= 0.5 AS asleep FROM a""",
 )
 def w8(spark, sf):
-    return W.sleep_scores(table(spark, sf, "events"), ["user_id"], ["event_id"], "value").select("event_id", F.round("cole", 6).alias("cole"))
+    return W.sleep_scores(table(spark, sf, "events"), ["user_id"], ["event_id"], "value").select("event_id", F.round("cole", 6).alias("cole"), F.col("cole_asleep").alias("asleep"))
 
 
 @query("W9_threshold_sleep", "WITH t AS (SELECT user_id, quantile_cont(value, 0.2) q FROM events GROUP BY 1) SELECT user_id, count(*) FILTER (WHERE value < q) AS asleep FROM events JOIN t USING (user_id) GROUP BY 1")
@@ -97,24 +102,24 @@ def w9(spark, sf):
     return e.join(t, "user_id").groupBy("user_id").agg(F.count_if(F.col("value") < F.col("q")).alias("asleep"))
 
 
-@query("W10_long_periods", f"WITH {_ISLANDS} SELECT user_id, first, last, length FROM i WHERE length >= 3")
+# Epochs of 60 minutes stand for the events, which lie hours apart; 45 and less is asleep.
+_PERIODS = """n AS (SELECT user_id, event_id, value, value < 45 AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), t AS (SELECT *, lag(f) OVER (PARTITION BY user_id ORDER BY n) AS before FROM n),
+onsets AS (SELECT user_id, n AS onset FROM t WHERE f AND NOT before), offsets AS (SELECT user_id, n AS off FROM t WHERE NOT f AND before), p AS (SELECT user_id, onset, min(off) AS off FROM onsets JOIN offsets USING (user_id) WHERE off > onset GROUP BY ALL)"""
+
+
+@query("W10_long_periods", f"WITH {_PERIODS} SELECT user_id, onset, off AS offset, (off - onset) * 60.0::DOUBLE AS minutes FROM p WHERE (off - onset) * 60 >= 180")
 def w10(spark, sf):
-    return W.islands(table(spark, sf, "events"), ["user_id"], ["event_id"], F.col("value") < 15).filter("length >= 3")
+    return W.sleep_periods(table(spark, sf, "events"), ["user_id"], ["event_id"], F.col("value") < 45, 60.0)
 
 
 @query(
     "W11_sleep_quality",
-    """WITH m AS (SELECT user_id, event_id, value < 15 AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n, value < 15 AND coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY event_id) < 15, false) AS onset, lag(value < 15) OVER (PARTITION BY user_id ORDER BY event_id) AS pf FROM events), s AS (SELECT user_id, min(n) FILTER (WHERE onset) AS sol FROM m GROUP BY 1)
-SELECT m.user_id, count(*) FILTER (WHERE f) AS tst, round(count(*) FILTER (WHERE f) / count(*), 6) AS efficiency, count(*) FILTER (WHERE NOT f AND n > sol) AS waso, any_value(sol) - 1 AS sol, count(*) FILTER (WHERE pf AND NOT f) AS awakenings FROM m JOIN s USING (user_id) GROUP BY 1""",
+    f"""WITH {_PERIODS}, m AS (SELECT user_id, arg_min(onset, (onset - off, onset)) AS onset, arg_min(off, (onset - off, onset)) AS off FROM p WHERE (off - onset) * 60 >= 180 GROUP BY 1), q AS (SELECT user_id, quantile_cont(value, 0.9) AS top FROM events GROUP BY 1)
+SELECT user_id, count(*) * 60.0::DOUBLE AS tst, count(*) * 60.0::DOUBLE AS tib, 100.0::DOUBLE AS se, 0.0::DOUBLE AS waso, 0.0::DOUBLE AS sol, 0::BIGINT AS awakenings, round(count(*) FILTER (WHERE value > top) / count(*), 6) AS sfi FROM m JOIN n USING (user_id) JOIN q USING (user_id) WHERE n >= onset AND n < off GROUP BY 1""",
 )
 def w11(spark, sf):
-    w = W.by(["user_id"], ["event_id"])
-    asleep = F.col("value") < 15
-    m = table(spark, sf, "events").select("user_id", asleep.alias("f"), F.row_number().over(w).cast("long").alias("n"), (asleep & F.coalesce(F.lead("value").over(w) < 15, F.lit(False))).alias("onset"), F.lag(asleep).over(w).alias("pf"))
-    s = m.groupBy("user_id").agg(F.min(F.when(F.col("onset"), F.col("n"))).alias("s"))
-    return m.join(s, "user_id").groupBy("user_id").agg(
-        F.count_if("f").alias("tst"), F.round(F.count_if("f") / F.count(F.lit(1)), 6).alias("efficiency"), F.count_if(~F.col("f") & (F.col("n") > F.col("s"))).alias("waso"), (F.first("s") - 1).alias("sol"), F.count_if(F.col("pf") & ~F.col("f")).alias("awakenings")
-    )
+    q = W.sleep_quality(table(spark, sf, "events"), ["user_id"], ["event_id"], "value", F.col("value") < 45, 60.0)
+    return q.select("user_id", "tst", "tib", "se", "waso", "sol", "awakenings", F.round("sfi", 6).alias("sfi"))
 
 
 @query(
@@ -148,15 +153,23 @@ def w14(spark, sf):
 @query(
     "W15_enrichment",
     """WITH s AS (SELECT l_partkey AS gene, avg(l_discount) - 0.05 AS score FROM lineitem GROUP BY 1), sets AS (SELECT DISTINCT p_brand AS brand FROM part), x AS (SELECT brand, gene, score, p_brand = brand AS member FROM s JOIN part ON p_partkey = gene CROSS JOIN sets),
-r AS (SELECT *, row_number() OVER o AS n, sum(CASE WHEN member THEN abs(score) ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) / sum(CASE WHEN member THEN abs(score) ELSE 0 END) OVER (PARTITION BY brand) - sum((NOT member)::INT) OVER (o ROWS UNBOUNDED PRECEDING) / sum((NOT member)::INT) OVER (PARTITION BY brand) AS run FROM x WINDOW o AS (PARTITION BY brand ORDER BY score DESC, gene))
-SELECT brand, round(arg_max(run, abs(run)), 6) AS es FROM r GROUP BY 1""",
+r AS (SELECT *, row_number() OVER o AS n, sum(CASE WHEN member THEN abs(score) ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) / sum(CASE WHEN member THEN abs(score) ELSE 0 END) OVER (PARTITION BY brand) - sum((NOT member)::INT) OVER (o ROWS UNBOUNDED PRECEDING) / sum((NOT member)::INT) OVER (PARTITION BY brand) AS run FROM x WINDOW o AS (PARTITION BY brand ORDER BY score DESC, gene)),
+k AS (SELECT brand, arg_max(run, abs(run)) AS es, arg_max(n, abs(run)) AS peak FROM r GROUP BY 1) SELECT brand, round(any_value(es), 6) AS es, count(*) FILTER (WHERE member AND CASE WHEN es >= 0 THEN n <= peak ELSE n > peak END) AS leading FROM r JOIN k USING (brand) GROUP BY 1""",
 )
 def w15(spark, sf):
     part = table(spark, sf, "part")
     s = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg((F.avg("l_discount") - 0.05).alias("score"))
     sets = part.select(F.col("p_brand").alias("brand")).distinct()
     x = s.join(part, F.col("gene") == F.col("p_partkey")).crossJoin(sets).withColumn("member", F.col("p_brand") == F.col("brand"))
-    return W.enrichment(x, ["brand"], "score", "member", "gene").select("brand", F.round("es", 6).alias("es"))
+    return W.enrichment(x, ["brand"], "score", "member", "gene").select("brand", F.round("es", 6).alias("es"), "leading")
+
+
+@query("M33_preranked")
+def m33_preranked(spark, sf):
+    """Normalised enrichment, permutation p and FDR of each brand's parts among all parts."""
+    part = table(spark, sf, "part")
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg((F.avg("l_discount") - 0.05).alias("score"))
+    return W.preranked(s.join(part, F.col("gene") == F.col("p_partkey")).select("gene", "score", F.col("p_brand").alias("set")), "gene", "score", "set", 100)
 
 
 @query(
@@ -217,8 +230,11 @@ def w24(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.round(F.datediff("o_orderdate", first) / 365.25, 6).alias("years"))
 
 
-@query("W26_cumulative_share", "WITH v AS (SELECT i, var_samp(v) AS s FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1) SELECT i, round(sum(s) OVER (ORDER BY s DESC, i ROWS UNBOUNDED PRECEDING) / sum(s) OVER (), 6) AS share FROM v")
+@query(
+    "W26_explained_variance",
+    """WITH c AS (SELECT var_samp(l_quantity) AS a, var_samp(l_tax * 1000) AS b, covar_samp(l_quantity, l_tax * 1000) AS c FROM lineitem), e AS (SELECT (a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c) AS top, a + b AS total FROM c)
+SELECT 1::BIGINT AS component, round(top / total, 6) AS share FROM e UNION ALL SELECT 2, 1.0 FROM e""",
+)
 def w26(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("i", "v")).groupBy((F.col("i") + 1).cast("long").alias("i")).agg(F.var_samp(F.col("v").cast("double")).alias("s"))
-    one = v.withColumn("all", F.lit(1))  # as many rows as dimensions
-    return one.select("i", F.round(F.sum("s").over(Window.partitionBy("all").orderBy(F.desc("s"), "i").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("s").over(Window.partitionBy("all")), 6).alias("share"))
+    d = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_tax") * 1000).alias("tax"))
+    return M.explained_variance(d, ["l_quantity", "tax"]).select("component", F.round("cumulative", 6).alias("share"))

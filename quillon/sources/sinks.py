@@ -44,8 +44,10 @@ class Stages:
 
 
 def write_report(rows: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A bounded table as Markdown, HTML or JSON by suffix; larger results belong in save()."""
-    got = [r.asDict(recursive=True) for r in rows.limit(most).collect()]
+    """A bounded table as Markdown, HTML or JSON by suffix. Over `most` rows are an error: they belong in save()."""
+    got = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"over {most} rows: use save()")
     cols, out = rows.columns, Path(path)
     out.parent.mkdir(parents=True, exist_ok=True)
     if out.suffix == ".json":
