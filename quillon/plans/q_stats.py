@@ -55,16 +55,17 @@ def m4(spark, sf):
 
 @query(
     "M5_correlation_network",
-    """WITH u AS (SELECT l_suppkey AS s, unnest(['l_discount', 'l_extendedprice', 'l_quantity', 'l_tax']) AS f, unnest([l_discount, l_extendedprice, l_quantity, l_tax]) AS x FROM lineitem), m AS (SELECT s, f, avg(x) AS x FROM u GROUP BY ALL),
+    """WITH u AS (SELECT p_brand AS s, unnest(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_orderkey', 'l_quantity', 'l_suppkey', 'l_tax', 'p_retailprice']) AS f, unnest([l_discount, l_extendedprice, l_linenumber, l_orderkey, l_quantity, l_suppkey, l_tax, p_retailprice]) AS x FROM lineitem JOIN part ON l_partkey = p_partkey), m AS (SELECT s, f, avg(x) AS x FROM u GROUP BY ALL),
 c AS (SELECT a.f AS a, b.f AS b, corr(a.x, b.x) AS r, count(*) AS n FROM m a JOIN m b ON a.s = b.s AND a.f < b.f GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT *, abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300)) AS t, (n - 2)::DOUBLE AS v FROM c WHERE abs(r) >= 0.3),
 g AS (SELECT *, unnest(range(4001)) AS i FROM t), p AS (SELECT a, b, any_value(r) AS r, any_value(n) AS n, greatest(0, 1 - 2 * exp(any_value(lgamma((v + 1) / 2) - lgamma(v / 2))) / sqrt(any_value(v) * pi()) * any_value(t) / 4000 / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * i / 4000) * (t * i / 4000) / v, -(v + 1) / 2))) AS p FROM g GROUP BY a, b)
 SELECT a, b, round(r, 6) AS r, n, round(p, 5) AS p FROM p WHERE p < 0.05""",
 )
 def m5(spark, sf):
     """Edges from |r| = .3 on with p < .05."""
-    long = S.long_form(table(spark, sf, "lineitem"), ["l_suppkey"], ["l_discount", "l_extendedprice", "l_quantity", "l_tax"])
-    v = long.groupBy("l_suppkey", "feature").agg(F.avg("value").alias("x"))
-    return M.correlation_edges(v, "l_suppkey", "feature", "x").select("a", "b", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    long = S.long_form(lines, ["p_brand"], ["l_discount", "l_extendedprice", "l_linenumber", "l_orderkey", "l_quantity", "l_suppkey", "l_tax", "p_retailprice"])
+    v = long.groupBy("p_brand", "feature").agg(F.avg("value").alias("x"))
+    return M.correlation_edges(v, "p_brand", "feature", "x").select("a", "b", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
 
 
 @query("M10_median_imputation", "WITH v AS (SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events), m AS (SELECT event_type, quantile_cont(v, 0.5) m FROM v GROUP BY 1) SELECT event_id, round(coalesce(v, m), 6) AS imputed FROM v JOIN m USING (event_type)")
