@@ -253,9 +253,9 @@ def near_groups(docs: DataFrame, percent: int = 75, shingle: int = 5, trees: int
         groups = materialise(crowded(alike.groupBy("bucket").applyInArrow(compare_tokens, "node long, rep long")).drop("size"))
         # A task confirms at most two slices of a group, of about CONFIRM bytes of sets each; all pairs of slices are tasks.
         weighed = groups.join(sets.select("rep", "n_shingles"), "rep")
-        slices = weighed.groupBy("node").agg(F.ceil(F.sum("n_shingles") * 8 / CONFIRM).cast("long").alias("slices"))
+        slices = materialise(weighed.groupBy("node").agg(F.ceil(F.sum("n_shingles") * 8 / CONFIRM).cast("long").alias("slices")).filter("slices > 1"))
         own = F.pmod(F.xxhash64("rep", "node"), F.col("slices"))
-        dealt = weighed.join(slices, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        dealt = weighed.join(slices, "node", "left").fillna(1, ["slices"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
         dealt = materialise(dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "n_shingles"))
         weight = dealt.agg(F.sum("n_shingles")).first()[0] or 0
         n_confirm = max(1, -(-weight * 8 // CONFIRM))
