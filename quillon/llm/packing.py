@@ -25,7 +25,7 @@ from quillon.llm._shared import bounded_batches, materialise
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-#: Words that a worker remembers; about 100 MB.
+#: Words, and parts of words, that a worker remembers; about 100 MB each.
 _CACHED = 250_000
 
 
@@ -53,6 +53,10 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.parts: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Words go; their parts, which most new words are made of, stay."""
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
@@ -84,11 +88,15 @@ class WordEncoder:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids on end, and n + 1 pointers."""
-        if len(self.known) > _CACHED:
+        if len(self.parts) > _CACHED:
             self.clear()
+        elif len(self.known) > _CACHED:
+            self.forget()
         starts, ends, ptr = H.word_spans(buf, offs)
         which, values = H.distinct_ranges(buf, starts, ends)
-        at = np.array([self.index(v) for v in values], np.int64)[which]
+        known = self.known
+        found = [known.get(v, -1) for v in values]
+        at = np.array([k if k >= 0 else self.index(v) for k, v in zip(found, values, strict=True)], np.int64)[which]
         begin, count = self.start[at], self.start[at + 1] - self.start[at]
         cum = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(begin - cum[:-1], count) + np.arange(cum[-1])]
