@@ -303,8 +303,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     table gives an empty result.
     """
     stays = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    found = own.filter("k is not null").join(stays, F.col("k") == F.col("doc_id"))
-    many = found.filter("times > 1").groupBy("k").agg(F.min_by("row", F.coalesce("t", F.lit(""))).alias("row"))
-    rows = own.filter("k is null").select("row").unionByName(found.filter("times = 1").select("row")).unionByName(many.select("row"))
+    stays = materialise(stays)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("k"))
+    named = own.filter("k is not null")
+    rows = own.filter("k is null").select("row").unionByName(named.join(stays.filter("times = 1"), F.col("k") == F.col("doc_id"), "left_semi").select("row"))
+    repeated = stays.filter("times > 1").select("doc_id")
+    if not repeated.isEmpty():
+        text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+        rows = rows.unionByName(named.join(repeated, F.col("k") == F.col("doc_id"), "left_semi").groupBy("k").agg(F.min_by("row", text).alias("row")).select("row"))
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
