@@ -28,23 +28,11 @@ def j2(spark, sf):
 
 @query(
     "J3_outer_many",
-    """WITH a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49 GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 GROUP BY 1), c AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 49 GROUP BY 1)
-SELECT k, a.n AS n, b.n AS n_1, c.n AS n_2 FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)""",
-)
-def j3(spark, sf):
-    return _counts_by_flag(table(spark, sf, "lineitem").filter("l_quantity > 49"))
-
-
-@query(
-    "J3_outer_many_all",
     """WITH a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), c AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
 SELECT k, a.n AS n, b.n AS n_1, c.n AS n_2 FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)""",
 )
-def j3_all(spark, sf):
-    return _counts_by_flag(table(spark, sf, "lineitem"))
-
-
-def _counts_by_flag(l):
+def j3(spark, sf):
+    l = table(spark, sf, "lineitem")
     return J.outer_all([l.filter(F.col("l_returnflag") == f).groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n")) for f in "ARN"], "k")
 
 

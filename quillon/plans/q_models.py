@@ -111,22 +111,13 @@ def m36(spark, sf):
     return table(spark, sf, "part").join(s, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(50)
 
 
-@query("M37_identifier_normalisation", "WITH a AS (SELECT s_name alias, s_suppkey id, 1 p FROM supplier UNION ALL SELECT 'S' || s_suppkey, s_suppkey, 2 FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_suppkey, 3 FROM supplier), q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'S' || l_suppkey WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE 'unknown' END AS raw FROM lineitem WHERE l_quantity = 50) SELECT l_orderkey, l_linenumber, l_partkey, arg_min(id, p) AS id FROM q LEFT JOIN a ON raw = alias GROUP BY ALL")
+@query("M37_identifier_normalisation", "WITH a AS (SELECT s_name alias, s_suppkey id, 1 p FROM supplier UNION ALL SELECT 'S' || s_suppkey, s_suppkey, 2 FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_suppkey, 3 FROM supplier), m AS (SELECT alias, arg_min(id, p) AS id FROM a GROUP BY 1), q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'S' || l_suppkey WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE 'unknown' END AS raw FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, id FROM q LEFT JOIN m ON raw = alias")
 def m37(spark, sf):
-    return _identified(spark, sf, table(spark, sf, "lineitem").filter("l_quantity = 50"))
-
-
-@query("M37_identifier_normalisation_all", "WITH a AS (SELECT s_name alias, s_suppkey id, 1 p FROM supplier UNION ALL SELECT 'S' || s_suppkey, s_suppkey, 2 FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_suppkey, 3 FROM supplier), m AS (SELECT alias, arg_min(id, p) AS id FROM a GROUP BY 1), q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'S' || l_suppkey WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE 'unknown' END AS raw FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, id FROM q LEFT JOIN m ON raw = alias")
-def m37_all(spark, sf):
-    return _identified(spark, sf, table(spark, sf, "lineitem"))
-
-
-def _identified(spark, sf, lines):
     s = table(spark, sf, "supplier")
     key = F.col("s_suppkey").cast("string")
     names = s.select(F.explode(F.array(F.struct(F.col("s_name").alias("alias"), F.lit(1).alias("p")), F.struct(F.concat(F.lit("S"), key).alias("alias"), F.lit(2).alias("p")), F.struct(key.alias("alias"), F.lit(3).alias("p")))).alias("a"), "s_suppkey").groupBy("a.alias").agg(F.min_by("s_suppkey", "a.p").alias("id"))
     m, k = F.col("l_linenumber") % 3, F.col("l_suppkey").cast("string")
-    q = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.when(m == 0, F.concat(F.lit("S"), k)).when(m == 1, k).otherwise("unknown").alias("alias"))
+    q = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(m == 0, F.concat(F.lit("S"), k)).when(m == 1, k).otherwise("unknown").alias("alias"))
     return q.join(names, "alias", "left").select("l_orderkey", "l_linenumber", "l_partkey", "id")
 
 

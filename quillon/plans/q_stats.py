@@ -150,14 +150,8 @@ def m34(spark, sf):
     return _rounded(M.stouffer(z, ["pathway"], "zz", "w"), ["pathway"], 5, "z")
 
 
-@query("M35_hubs", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b FROM lineitem WHERE l_quantity > 48), d AS (SELECT n AS node, count(*) AS degree FROM (SELECT a n FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY 1) SELECT node, degree FROM d WHERE degree >= (SELECT quantile_cont(degree, 0.9) FROM d)")
+@query("M35_hubs", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b FROM lineitem), d AS (SELECT n AS node, count(*) AS degree FROM (SELECT a n FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY 1) SELECT node, degree FROM d WHERE degree >= (SELECT quantile_cont(degree, 0.9) FROM d)")
 def m35(spark, sf):
-    e = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    return G.hubs(e, "a", "b", 0.9)
-
-
-@query("M35_hubs_all", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b FROM lineitem), d AS (SELECT n AS node, count(*) AS degree FROM (SELECT a n FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY 1) SELECT node, degree FROM d WHERE degree >= (SELECT quantile_cont(degree, 0.9) FROM d)")
-def m35_all(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
     return G.hubs(e, "a", "b", 0.9)
 
@@ -278,14 +272,8 @@ def m66b(spark, sf):
     return M.with_p(M.welch(table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "k"), ["k"], F.col("l_returnflag") == "R", "l_quantity"))
 
 
-@query("M68_multilayer_degree", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b, l_returnflag y FROM lineitem WHERE l_quantity > 48), d AS (SELECT n AS node, count(*) AS degree FROM (SELECT a n FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY 1) SELECT node, degree FROM d")
+@query("M68_multilayer_degree", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b, l_returnflag y FROM lineitem), d AS (SELECT n AS node, count(*) AS degree FROM (SELECT a n FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY 1) SELECT node, degree FROM d")
 def m68(spark, sf):
-    e = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), "l_returnflag").distinct()
-    return G.degrees(e, "a", "b")
-
-
-@query("M68_multilayer_degree_all", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b, l_returnflag y FROM lineitem), d AS (SELECT n AS node, count(*) AS degree FROM (SELECT a n FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY 1) SELECT node, degree FROM d")
-def m68_all(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), "l_returnflag").distinct()
     return G.degrees(e, "a", "b")
 
