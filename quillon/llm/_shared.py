@@ -57,7 +57,7 @@ def materialise(df: DataFrame) -> DataFrame:
     name = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     store, path = _path(spark, name)
     store.deleteOnExit(path)
-    df.write.parquet(name)
+    df.write.option("compression", "zstd").parquet(name)
     out = spark.read.schema(df.schema).parquet(name)
     out._quillon_table = name
     return out
