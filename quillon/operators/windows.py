@@ -196,3 +196,23 @@ def widest_gap(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The largest difference of neighbours in sorted order, and the value below it."""
     g = df.withColumn("_p", F.lag(value).over(by(keys, [value]))).filter("_p is not null").withColumn("_g", F.col(value) - F.col("_p"))
     return g.groupBy(*keys).agg(F.max("_g").alias("gap"), F.max_by("_p", F.struct("_g", -F.col("_p"))).alias("below"))
+
+
+def transition_rate(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Mean absolute change from frame to frame and the slope over frames, for series of two frames or more."""
+    w = by(keys, order)
+    d = df.withColumn("_frame", F.row_number().over(w) - 1).withColumn("_rate", F.abs(F.col(value) - F.lag(value).over(w)))
+    return d.groupBy(*keys).agg(F.avg("_rate").alias("rate_per_frame"), F.regr_slope(value, "_frame").alias("slope"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+
+
+def energy_peaks(df: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
+    """Peaks of a series' integrated energy, with the gap to the one before: squared differences averaged over an odd
+    width (nothing beyond the ends), local maxima above the series' mean. The band-pass filter comes before, if any."""
+    w, half = by(keys, order), width // 2
+    d = df.select(*keys, F.row_number().over(w).alias("i"), F.pow(F.col(value) - F.lag(value).over(w), 2).alias("_e")).filter("_e is not null")
+    m = d.withColumn("_m", F.round(F.sum("_e").over(by(keys, ["i"]).rowsBetween(-half, half)) / width, 6))
+    at = by(keys, ["i"])
+    level = F.round(F.avg("_m").over(Window.partitionBy(*keys)), 6)
+    t = m.withColumns({"_before": F.lag("_m").over(at), "_after": F.lead("_m").over(at), "_level": level})
+    peaks = t.filter((F.col("_m") > F.col("_before")) & (F.col("_m") >= F.col("_after")) & (F.col("_m") > F.col("_level")))
+    return peaks.select(*keys, "i", (F.col("i") - F.lag("i").over(at)).alias("gap"))
