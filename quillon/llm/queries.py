@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.collocations import COLLOCATIONS_SQL, collocations
 from quillon.llm.exact_dedup import EXACT_SQL, exact_groups
 from quillon.llm.html_extraction import extract_main_text
+from quillon.llm.importance_resampling import RESAMPLING_SQL, resample
 from quillon.llm.lm_scoring import score
 from quillon.llm.near_dedup import near_groups
 from quillon.llm.packing import pack
@@ -14,6 +16,7 @@ from quillon.llm.quality_rules import judge
 from quillon.llm.source_mixing import mixing_report
 from quillon.llm.substring_dedup import remove_repeated_windows
 from quillon.llm.suffix_dedup import remove_repeated_strings
+from quillon.llm.token_counts import token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +65,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_source_mixing, op4_quality_rules, op5_html_extraction, op6_exact_dedup, op7_quality_classifier, op8_near_dedup, op9_lm_scoring, op10_packing)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_source_mixing, op4_quality_rules, op5_html_extraction, op6_exact_dedup, op7_quality_classifier, op8_near_dedup, op9_lm_scoring, op10_packing, op11_collocations, op12_importance_resampling, op13_token_counts)}
 
 #: DuckDB SQL for those that SQL expresses in reasonable time on whole tables.
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL, "op11_collocations": COLLOCATIONS_SQL, "op12_importance_resampling": RESAMPLING_SQL}
