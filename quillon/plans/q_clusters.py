@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quillon.operators import density as N
@@ -10,35 +12,62 @@ from quillon.registry import query
 from quillon.sources.tables import table
 
 
-def _points(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "embedding")
+LETTERS = "aehinoty"
 
 
-@query("M14_density_consensus")
-def consensus(spark, sf):
-    return N.consensus_clusters(_points(spark, sf), "vec_id", "embedding", sample=500)
+def _letters(spark, sf):
+    """Every document as a point: how many of a hundred of its characters are each of eight letters."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("t")).filter(F.length("t") > 0)
+    share = lambda c: (F.length("t") - F.length(F.replace("t", F.lit(c)))) * 100.0 / F.length("t")
+    return d.select("doc_id", "lang", F.array(*map(share, LETTERS)).alias("x"))
+
+
+_SQL_LETTERS = f"x AS (SELECT doc_id, lang, [(length(t) - length(replace(t, l, ''))) * 100.0 / length(t) FOR l IN {list(LETTERS)}]::DOUBLE[] AS x FROM (SELECT doc_id, lang, lower(text) AS t FROM documents) WHERE length(t) > 0)"
+
+
+@query("M14_density_clusters")
+def density(spark, sf):
+    return N.density_clusters(_letters(spark, sf), "doc_id", "x", least=15, neighbours=5)
 
 
 @query("M14_density_sweep")
 def swept(spark, sf):
-    return N.sweep(_points(spark, sf), "vec_id", "embedding", sample=500)
+    return N.sweep(N.Cloud(_letters(spark, sf), "doc_id", "x", 10), least=(5, 15), neighbours=(5,))
+
+
+@query("M14_density_consensus")
+def agreed(spark, sf):
+    cloud = N.Cloud(_letters(spark, sf), "doc_id", "x", 10)
+    return N.consensus(cloud, N.sweep(cloud, least=(10, 15, 20), neighbours=(5,), methods=("eom",)), least=10)
 
 
 @query("M19_topology")
 def topology(spark, sf):
-    """Of a bounded sample: spanning-tree gap, persistence entropy, spectral gap, components, purity of labels."""
-    e = table(spark, sf, "embeddings")
-    keys, x = N.bounded_sample(e, "vec_id", "embedding", 500)
-    labels = {r[0]: r[1] for r in e.filter(F.col("vec_id").isin([int(k) for k in keys])).select("vec_id", "label").collect()}
-    import numpy as np
-
-    got = N.topology(x, np.array([labels[int(k)] for k in keys]))
-    return spark.createDataFrame(sorted(got.items()), "measure string, value double")
+    """Gaps of the spanning tree, edges between languages, purity, and the spectrum of the neighbour graph, of all documents."""
+    points = _letters(spark, sf)
+    return N.topology(N.Cloud(points, "doc_id", "x", 10), points.select(F.col("doc_id").alias("key"), F.col("lang").alias("label")), dims=6, rounds=12)
 
 
 @query("M27_bootstrap_stability")
 def stability(spark, sf):
-    return N.bootstrap_stability(_points(spark, sf), "vec_id", "embedding", draws=8, sample=400)
+    """How four centres of all documents come back in subsamples."""
+
+    def four(points):
+        rows = points.withColumn("features", array_to_vector("x"))
+        return KMeans(k=4, seed=1).fit(rows).transform(rows).select("doc_id", F.col("prediction").alias("cluster"))
+
+    return N.bootstrap_stability(_letters(spark, sf), "doc_id", four, draws=4)
+
+
+@query(
+    "M18_neighbour_purity",
+    f"WITH {_SQL_LETTERS}, d AS (SELECT a.doc_id, a.lang AS l, b.lang AS m, row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.x, b.x), b.doc_id) AS r FROM x a JOIN x b ON a.doc_id <> b.doc_id), p AS (SELECT doc_id, avg((l = m)::INT) AS p FROM d WHERE r <= 10 GROUP BY 1) SELECT round(avg(p), 3) AS purity FROM p",
+)
+def near_purity(spark, sf):
+    """Exact ten nearest documents of every document: the share of the same language."""
+    points = _letters(spark, sf)
+    out = N.purity(N.nearest(N.Cells(points, "doc_id", "x", 10), 10), points.select(F.col("doc_id").alias("key"), F.col("lang").alias("label")))
+    return out.select(F.round("purity", 3).alias("purity"))
 
 
 def _holes(spark, sf):

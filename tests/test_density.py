@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.operators import density as N
+from quillon.operators import density, graph, neighbours
 from quillon.operators import stats as M
 from quillon.operators import windows as W
+from tests import plain_density as plain
 
 
 def blobs(n=60, noise=0, seed=1):
@@ -23,38 +27,161 @@ def agree(a, b):
     return np.mean([(a[i] == a[j]) == (b[i] == b[j]) for i, j in itertools.combinations(range(0, len(a), 3), 2)])
 
 
-def test_spanning_tree():
-    x = np.array([[0.0], [1], [3], [10]])
-    assert N.spanning_tree(x)[:, 2].tolist() == [1, 2, 7]
-
-
-def test_density_clusters():
-    x, truth = blobs(noise=12)
-    got = N.density_clusters(x, 10)
+def frame(spark, x, parts=4):
+    return spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>").repartition(parts)
+
+
+def forest(edges):
+    """Kruskal's edges, ties by both ends."""
+    up, out = {}, {}
+
+    def find(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for w, a, b in sorted(edges):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            out[a, b] = w
+    return out
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(g, r.randrange(60), r.randrange(60)) for g in (0, 1) for _ in range(35)] + [(2, i, i + 1) for i in range(100)] + [(3, 5, 5)]
+    df = spark.createDataFrame(edges, "g long, a long, b long")
+    got = {(x["g"], x["node"]): x["component"] for x in graph.components(df, ("g",)).collect()}
+    for g in (0, 1, 2, 3):
+        up = forest([(1, a, b) for h, a, b in edges if h == g and a != b])
+        near = collections.defaultdict(set)
+        for a, b in up:
+            near[a].add(b)
+            near[b].add(a)
+        for node in near:
+            seen, todo = {node}, [node]
+            while todo:
+                more = near[todo.pop()] - seen
+                seen |= more
+                todo += more
+            assert got.pop((g, node)) == min(seen)
+    assert not got
+
+
+def test_spanning_forest(spark):
+    r = random.Random(2)
+    edges = {(a, b): r.randrange(6) for a, b in itertools.combinations(range(40), 2) if r.random() < 0.1}
+    df = spark.createDataFrame([(b, a, float(w)) for (a, b), w in edges.items()] + [(3, 3, 0.0), (1, None, 1.0)], "a long, b long, w double")
+    assert {(x["a"], x["b"]): x["w"] for x in graph.spanning_forest(df).collect()} == forest([(w, a, b) for (a, b), w in edges.items()])
+    assert graph.spanning_forest(df.limit(0)).count() == 0
+
+
+def test_nearest_with_a_hot_cell(spark, monkeypatch):
+    """A third of all rows at one place, rows without a vector, more neighbours than blocks hold."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.zeros((50, 3)), rng.normal(0, 1, (60, 3)), rng.normal(9, 1, (40, 3))])
+    df = frame(spark, x).unionByName(spark.createDataFrame([(900, None), (None, [1.0, 2.0, 3.0])], "id long, v array<double>"))
+    near, far = plain.neighbour_distances(x, 7)
+    cells = neighbours.Cells(df, "id", "v", 7, pivots=6)
+    assert len(cells.near()) < 36  # far cells aren't met
+    got = {(r["key"], r["rank"]): (r["neighbour"], r["distance"]) for r in neighbours.nearest(cells, 7).collect()}
+    assert got == {(i, j + 1): (near[i, j], far[i, j]) for i in range(len(x)) for j in range(7)}
+
+
+@pytest.mark.parametrize("k, core", [(3, 0), (4, 3)])
+def test_minimum_spanning_tree(spark, k, core):
+    """Lists of few neighbours leave gaps that the search closes: the tree is that of all pairs."""
+    x = np.concatenate([blobs(25, 6)[0], [[0.0, 0.0]] * 4, [[50.0, 50.0]]])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    if core:
+        c = plain.neighbour_distances(x, core)[1][:, -1]
+        d = np.maximum(d, np.maximum(c[:, None], c[None]))
+    want = forest([(d[a, b], a, b) for a, b in itertools.combinations(range(len(x)), 2)])
+    got = {(r["a"], r["b"]): r["w"] for r in density.Cloud(frame(spark, x), "id", "v", k, pivots=5).tree(core).collect()}
+    assert got == want
+
+
+def test_density_clusters(spark):
+    x, truth = blobs(30, 8)
+    cloud = density.Cloud(frame(spark, x), "id", "v", 6)
+    tree = cloud.tree(4)
+    cuts = sorted({r["w"] for r in tree.collect()})  # a cut at every edge: the whole hierarchy
+    member = density.memberships(tree, cuts)
+    for least in (5, 12):
+        found = density.chains(member, cuts, least)
+        got = {r["key"]: r["cluster"] for r in density.labelled(cloud, member, density.chosen(found)).collect()}
+        want = plain.density_clusters(x, least, 4)
+        names = {c: int(np.flatnonzero(want == c)[0]) for c in range(want.max() + 1)}
+        assert [got[i] for i in range(len(x))] == [names.get(c, -1) for c in want]
+        leaves = density.labelled(cloud, member, density.chosen(found, "leaf"))
+        assert leaves.filter("cluster >= 0").select("cluster").distinct().count() >= len(names)
     inside = truth >= 0
-    assert got.max() == 2 and agree(got[inside], truth[inside]) > 0.97
-    assert (got[~inside] == -1).mean() > 0.6
-    assert (N.density_clusters(x[:5], 10) == -1).all()
-
-
-def test_consensus_and_sweep(spark):
-    x, truth = blobs(40)
-    runs = [N.density_clusters(x, k) for k in (8, 10, 15)]
-    labels, confidence = N.consensus(runs)
-    assert labels.max() == 2 and confidence[labels >= 0].mean() > 0.9
-    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>")
-    out = {r["id"]: r for r in N.consensus_clusters(df, "id", "v", sample=90, least=8, neighbours=(5,)).collect()}
-    assert len(out) == len(x) and sum(r["fitted"] for r in out.values()) == 90
-    assert agree(np.array([out[i]["label"] for i in range(len(x))]), truth) > 0.95
-    stable = N.bootstrap_stability(df, "id", "v", 8, 4, 120).collect()
-    assert len(stable) == 3 and min(r["jaccard"] for r in stable) > 0.8
-
-
-def test_topology():
-    x, truth = blobs(40)
-    apart, one = N.topology(x, truth), N.topology(np.random.default_rng(2).normal(0, 1, (120, 2)))
-    assert apart["components"] == 3 and apart["purity"] == 1
-    assert one["components"] == 1 and apart["mst_gap"] > 3 * one["mst_gap"]
+    assert agree(np.array([got[i] for i in np.flatnonzero(inside)]), truth[inside]) > 0.97
+    assert {r["cluster"] for r in density.density_clusters(frame(spark, x[:5]), "id", "v", 10, 4, 6).collect()} == {-1}
+
+
+def test_consensus(spark):
+    x, truth = blobs(25)
+    cloud = density.Cloud(frame(spark, x), "id", "v", 6)
+    runs = density.sweep(cloud, least=(8, 12), neighbours=(4,), methods=("eom",))
+    assert runs.count() == 2 * len(x)
+    got = {r["key"]: (r["cluster"], r["confidence"]) for r in density.consensus(cloud, runs, least=5).collect()}
+    labels = np.array([got[i][0] for i in range(len(x))])
+    assert len(set(labels[labels >= 0])) == 3 and agree(labels, truth) > 0.95
+    assert np.mean([c for k, c in got.values() if k >= 0]) > 0.9
+    nothing = runs.withColumn("cluster", F.lit(-1))
+    assert {(r["cluster"], r["confidence"]) for r in density.consensus(cloud, nothing).collect()} == {(-1, 0.0)}
+
+
+def test_tree_measures(spark):
+    rng = np.random.default_rng(6)
+    w = np.round(rng.exponential(1, 90), 1)
+    labels = rng.integers(0, 2, 91)
+    tree = spark.createDataFrame([(i, i + 1, float(v)) for i, v in enumerate(w)], "a long, b long, w double")
+    got = density.tree_gaps(tree).first()
+    s, gap = np.sort(w), np.diff(np.sort(w))
+    p = w[w > 0] / w.sum()
+    want = {"mean_within": s[:45].mean(), "mean_between": s[45:].mean(), "max_gap": gap.max(), "gap_threshold": np.percentile(gap, 95), "n_large_gaps": (gap > np.percentile(gap, 95)).sum(), "persistence_entropy": -(p * np.log(p)).sum()}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    known = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "key long, label long")
+    row = density.edge_separation(tree, known).first()
+    apart = labels[1:] != labels[:-1]
+    u = sum((a > b) + 0.5 * (a == b) for a in w[apart] for b in w[~apart])
+    assert (row["n_between"], row["u_statistic"]) == (apart.sum(), pytest.approx(u))
+    assert row["effect_size"] == pytest.approx(1 - 2 * u / (apart.sum() * (~apart).sum()))
+
+
+def test_topology(spark):
+    x, truth = blobs(25)
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(truth)], "key long, label long")
+    got = {r["measure"]: r["value"] for r in density.topology(density.Cloud(frame(spark, x), "id", "v", 6), labels, 5, 8).collect()}
+    assert got["components"] == 3 and got["purity"] == 1 and got["n_between"] == 2 and got["gap_ratio"] > 2
+    assert got["eigenvalue_3"] < 1e-3 < got["eigenvalue_4"]
+
+
+def test_spectral(spark):
+    """A ring with chords: eigenvalues and the space of vectors are NumPy's."""
+    pairs = {(i, (i + 1) % 12) for i in range(12)} | {(0, 4), (2, 9), (3, 7)}
+    values, vectors = graph.spectral(spark.createDataFrame(list(pairs), "a long, b long"), 3, 12)
+    a = np.zeros((12, 12))
+    for i, j in pairs:
+        a[i, j] = a[j, i] = 1
+    d = a.sum(1)
+    want, axes = np.linalg.eigh(np.eye(12) - a / np.sqrt(np.outer(d, d)))
+    assert values == pytest.approx(want[:3].tolist(), abs=1e-4)
+    v = np.array([r["v"] for r in vectors.orderBy("node").collect()])
+    assert np.abs(np.abs(v[:, :2].T @ axes[:, :2]) - np.eye(2)).max() < 1e-3  # up to sign
+    assert graph.spectral(spark.createDataFrame([], "a long, b long"), 3)[0] == []
+
+
+def test_bootstrap_stability(spark):
+    x, _ = blobs(25)
+    halves = lambda points: points.select("id", (F.col("v")[0] > 3).cast("int").alias("cluster"))
+    for r in density.bootstrap_stability(frame(spark, x), "id", halves, 3).collect():
+        assert (r["ari"], r["n"] < len(x)) == (1.0, True) and 0.6 < r["jaccard"] <= 1.0
+    drawn = lambda points: points.select("id", F.pmod(F.xxhash64("id", F.lit(points.count())), F.lit(3)).alias("cluster"))
+    assert all(abs(r["ari"]) < 0.3 for r in density.bootstrap_stability(frame(spark, x), "id", drawn, 3).collect())
 
 
 def holed(spark, n=200):
@@ -79,8 +206,6 @@ def test_imputation(spark):
     assert [round(x["a"] - y["a"], 9) for x, y in zip(shifted, plain, strict=True)][:5] == [1, 0, 0, 0, 1]
     r = M.little_statistic(df, ["a", "b", "c"]).first()
     assert r["patterns"] == 4 and r["df"] == 3 + 3 * 2 - 3 and r["statistic"] >= 0
-    with pytest.raises(ValueError):
-        N.bounded_sample(df, "id", "a", 10**6)
 
 
 def test_explained_variance(spark):
