@@ -43,32 +43,39 @@ class Cells:
         x = points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("x")).dropna()
         n = x.count()
         some = x.orderBy(F.xxhash64("key"), "key").limit(pivots or min(MOST_PIVOTS, max(1, n // (BLOCK // 2)))).collect()
-        self.n, self.pivots = n, np.array([r["x"] for r in some]).reshape(len(some), -1)
+        self.n, self.pivots = n, np.array([r["x"] for r in some]).reshape(len(some), -1) if some else np.zeros((0, 0))
+        at = self.pivots
+        self.rows, self.size, self.radius = self.dealt(x)
+        self.apart = distances(at, at)
+        first = self.rows.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("far", "key"))).filter(F.col("i") <= k + 1)
+        low = np.full((len(at), k + 1), np.inf)
+        for r in first.select("cell", "i", "far").collect():
+            low[r["cell"], r["i"] - 1] = r["far"]
+        # A row of cell i and a row at a distance low from pivot j are at most i's radius + apart + low apart.
+        self.limit = np.array([np.partition((self.apart[i][:, None] + low).ravel(), min(k, low.size - 1))[min(k, low.size - 1)] for i in range(len(at))])
+
+    def dealt(self, x: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """(key, x) with the cell and the distance of the nearest pivot, stored; rows and radius of each cell."""
         at = self.pivots
 
-        def dealt(batches):
+        def deal(batches):
             for b in batches:
                 if b.num_rows:
                     d = distances(matrix(b.column(1)), at)
                     cell = d.argmin(1)
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell]), b.column(1)], names=["key", "cell", "far", "x"])
 
-        self.rows = stored(x.mapInArrow(dealt, _ROW))
-        self.size, self.radius = np.zeros(len(at), int), np.zeros(len(at))
-        for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect():
-            self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
-        self.apart = distances(at, at)
-        first = self.rows.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("far", "key"))).filter(F.col("i") <= k + 1)
-        low = np.full((len(at), k + 1), np.inf)
-        for r in first.select("cell", "i", "far").collect():
-            low[r["cell"], r["i"] - 1] = r["far"]
-        # A cell's row and a row at a distance low from pivot j are at most radius + apart + low apart.
-        self.limit = np.array([np.partition((self.radius[i] + self.apart[i][:, None] + low).ravel(), min(k, low.size - 1))[min(k, low.size - 1)] for i in range(len(at))])
+        rows = stored(x.mapInArrow(deal, _ROW))
+        size, radius = np.zeros(len(at), int), np.zeros(len(at))
+        for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect():
+            size[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+        return rows, size, radius
 
-    def near(self) -> list[tuple[int, int]]:
-        """Pairs of cells whose rows may be neighbours."""
-        slack = 1e-9 * (1 + self.apart.max(initial=0.0))
-        return [(i, j) for i in range(len(self.size)) for j in range(len(self.size)) if self.size[i] and self.size[j] and not self.apart[i, j] - self.radius[i] - self.radius[j] > self.limit[i] + slack]
+    def near(self, size: np.ndarray | None = None, radius: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Pairs of cells whose rows may be neighbours; of queries with other sizes and radii, if given."""
+        size, radius = (self.size, self.radius) if size is None else (size, radius)
+        slack = 1e-9 * (1 + self.apart.max(initial=0.0) + radius.max(initial=0.0))
+        return [(i, j) for i in range(len(size)) for j in range(len(size)) if size[i] and self.size[j] and not self.apart[i, j] - self.radius[j] > self.limit[i] + 2 * radius[i] + slack]
 
     def within(self, limit: dict[int, float], only: dict[int, int]) -> list[tuple[int, int]]:
         """Pairs of cells with rows within the limit of the first; none if both hold one and the same part only."""
@@ -76,11 +83,11 @@ class Cells:
         live = np.flatnonzero(self.size).tolist()
         return [(i, j) for i, most in limit.items() for j in live if self.apart[i, j] - self.radius[i] - self.radius[j] <= most + slack and not (i in only and only[i] == only.get(j))]
 
-    def meet(self, queries: DataFrame, rows: DataFrame, pairs: list[tuple[int, int]], kernel, schema: str) -> DataFrame:
+    def meet(self, queries: DataFrame, rows: DataFrame, pairs: list[tuple[int, int]], kernel, schema: str, size: np.ndarray | None = None) -> DataFrame:
         """kernel(query table, row table) on each pair of blocks of the cells in pairs; both have key, cell and x."""
         spark = rows.sparkSession
-        blocks = lambda c: max(1, -(-int(self.size[c]) // BLOCK))
-        known = spark.createDataFrame([(i, j, blocks(i), blocks(j)) for i, j in pairs], "qc int, rc int, qn int, rn int")  # at most MOST_PIVOTS squared rows
+        blocks = lambda c, of: max(1, -(-int(of[c]) // BLOCK))
+        known = spark.createDataFrame([(i, j, blocks(i, self.size if size is None else size), blocks(j, self.size)) for i, j in pairs], "qc int, rc int, qn int, rn int")  # at most MOST_PIVOTS squared rows
         known, again = F.broadcast(known), F.broadcast(known.select(*(F.col(c).alias(c) for c in known.columns)))
         own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -91,10 +98,13 @@ class Cells:
         return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(kernel, schema)
 
 
-def nearest(cells: Cells, k: int) -> DataFrame:
+def nearest(cells: Cells, k: int, queries: DataFrame | None = None) -> DataFrame:
     """(key, neighbour, distance, rank): each row's k nearest other rows, ties to the smaller key. All of them where
-    there are fewer. Keys must be unique; rows with a null key or vector have no neighbours and are none."""
-    names, schema = ["key", "neighbour", "distance"], "key long, neighbour long, distance double"
+    there are fewer. Keys must be unique; rows with a null key or vector have no neighbours and are none.
+
+    With queries (key, x), of these the k nearest rows; a row of the same key counts. k is at most that of the cells.
+    """
+    names, schema, other = ["key", "neighbour", "distance"], "key long, neighbour long, distance double", queries is not None
 
     def best(q: pa.Table, r: pa.Table) -> pa.Table:
         if not q.num_rows or not r.num_rows:
@@ -102,13 +112,18 @@ def nearest(cells: Cells, k: int) -> DataFrame:
         qk, rk = q.column("key").to_numpy(), r.column("key").to_numpy()
         order = np.argsort(rk, kind="stable")
         rk, d = rk[order], distances(matrix(q.column("x")), matrix(r.column("x"))[order])
-        d[qk[:, None] == rk[None]] = np.inf
+        if not other:
+            d[qk[:, None] == rk[None]] = np.inf
         at = np.argsort(d, 1, kind="stable")[:, :k]
         got = np.take_along_axis(d, at, 1)
         live = np.isfinite(got).ravel()
         return pa.Table.from_arrays([pa.array(np.repeat(qk, at.shape[1])[live]), pa.array(rk[at].ravel()[live]), pa.array(got.ravel()[live])], names=names)
 
-    met = cells.meet(cells.rows, cells.rows, cells.near(), best, schema)
+    if other:
+        rows, size, radius = cells.dealt(queries.dropna())
+        met = cells.meet(rows, cells.rows, cells.near(size, radius), best, schema, size)
+    else:
+        met = cells.meet(cells.rows, cells.rows, cells.near(), best, schema)
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour")))
     return ranked.filter(F.col("rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quillon.operators import density as N
+from quillon.operators import manifold as D
 from quillon.operators import stats as M
 from quillon.registry import query
 from quillon.sources.tables import table
@@ -70,6 +71,14 @@ def near_purity(spark, sf):
     return out.select(F.round("purity", 3).alias("purity"))
 
 
+@query("M20_manifold_deviation")
+def manifold(spark, sf):
+    """Every document's deviation from the manifold of the English ones, and whether it passes the rotation null."""
+    out = D.deviations(_letters(spark, sf), "doc_id", "x", F.col("lang") == "en", k=10, components=3)
+    limit = D.rotation_threshold(out, "deviation", "key")
+    return out.withColumn("deviant", F.col("deviation") > F.lit(limit))
+
+
 def _holes(spark, sf):
     """Lines with a value left out in turn."""
     at = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10

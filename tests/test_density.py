@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import density, graph, neighbours
+from quillon.operators import density, graph, manifold, neighbours
 from quillon.operators import stats as M
 from quillon.operators import windows as W
 from tests import plain_density as plain
@@ -184,6 +184,35 @@ def test_bootstrap_stability(spark):
     assert all(abs(r["ari"]) < 0.3 for r in density.bootstrap_stability(frame(spark, x), "id", drawn, 3).collect())
 
 
+def test_manifold_deviations(spark):
+    """All rows' scores against NumPy, with a baseline in the middle of which a row has no vector."""
+    rng = np.random.default_rng(8)
+    base = np.stack([t := rng.uniform(0, 6, 50), np.sin(t), 0.1 * rng.normal(size=50)], 1)
+    x = np.concatenate([base, base[:10] + rng.normal(0, 1, (10, 3)), base[:1]])
+    df = frame(spark, x).withColumn("control", F.col("id") < 50).unionByName(spark.createDataFrame([(99, None, True)], "id long, v array<double>, control boolean"))
+    k, c = 8, 2
+    d = np.sqrt(((x[:, None] - base[None]) ** 2).sum(2))
+    at = np.argsort(d, 1, kind="stable")[:, :k]
+    edges = np.array([w for w in forest([(d[a, b], a, b) for a, b in itertools.combinations(range(50), 2)]).values()])
+    spread = np.take_along_axis(d, at, 1).var(1)
+    resid, delta = [], []
+    for i in range(len(x)):
+        around = base[at[at[i, 0]]]
+        v = np.linalg.svd(around - around.mean(0), full_matrices=False)[2][:c]
+        gap = x[i] - base[at[i, 0]]
+        resid.append(np.linalg.norm(gap - gap @ v.T @ v))
+        delta.append(max(0.0, (d[i].min() - edges.mean()) / (edges.std() + 1e-10)))
+    want = np.stack([resid, delta, np.abs(spread - spread[:50].mean()) / (spread[:50].std() + 1e-10)], 1)
+    z = np.median((want - want.mean(0)) / (want.std(0) + 1e-10), 1)
+    out = manifold.deviations(df, "id", "v", F.col("control"), k, c, pivots=5)
+    got = {r["key"]: r for r in out.collect()}
+    assert set(got) == set(range(len(x)))
+    for name, col in (("orthogonal_residual", want[:, 0]), ("mst_delta", want[:, 1]), ("knn_curvature", want[:, 2]), ("deviation", z)):
+        assert [got[i][name] for i in range(len(x))] == pytest.approx(col.tolist(), abs=1e-9)
+    assert manifold.rotation_threshold(out, "deviation", "key", 0.9, 7) == pytest.approx(np.quantile(np.repeat(z, 7), 0.9))
+    assert manifold.deviations(df, "id", "v", F.lit(False)).count() == 0
+
+
 def holed(spark, n=200):
     rng = np.random.default_rng(4)
     a = rng.normal(0, 1, n)
