@@ -6,6 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from quillon.operators import bayes as B
 from quillon.operators import density as N
 from quillon.operators import manifold as D
 from quillon.operators import stats as M
@@ -71,6 +72,12 @@ def near_purity(spark, sf):
     return out.select(F.round("purity", 3).alias("purity"))
 
 
+@query("M15_bayesian_mixture")
+def mixture(spark, sf):
+    """All documents by a mixture of at most eight Gaussians of their letters."""
+    return B.bayesian_mixture(_letters(spark, sf), "doc_id", "x", 8, rounds=25)[0]
+
+
 @query("M20_manifold_deviation")
 def manifold(spark, sf):
     """Every document's deviation from the manifold of the English ones, and whether it passes the rotation null."""
