@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import bayes as B
 from quillon.operators import density as N
+from quillon.operators import factors as FM
 from quillon.operators import manifold as D
 from quillon.operators import stats as M
 from quillon.registry import query
@@ -78,6 +79,14 @@ def mixture(spark, sf):
     return B.bayesian_mixture(_letters(spark, sf), "doc_id", "x", 8, rounds=25)[0]
 
 
+@query("M6_factor_model")
+def factors(spark, sf):
+    """Factors of all documents from two modalities: letters, and for those with lines the logarithms of their counts."""
+    lines = table(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 200, F.array(*(F.log1p(F.size(F.split("text", c)).cast("double")) for c in ("\n", "[.]", ",", " ")))).alias("counts"))
+    rows = _letters(spark, sf).join(lines, "doc_id")
+    return FM.factor_model(rows, "doc_id", {"x": len(LETTERS), "counts": 4}, 4, rounds=15)[0]
+
+
 @query("M20_manifold_deviation")
 def manifold(spark, sf):
     """Every document's deviation from the manifold of the English ones, and whether it passes the rotation null."""
