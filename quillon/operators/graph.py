@@ -112,7 +112,8 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame | None = None, closer=Non
         up = stored(hung.unionByName(picked.select(F.col("other").alias("part")).distinct().join(picked, "part", "left_anti").select("part", F.col("part").alias("root"))))
         while True:
             above = up.select(F.col("part").alias("root"), F.col("root").alias("next"))
-            after = stored(up.join(above, "root").select("part", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            twice = up.join(above, "root").select("part", F.col("root").alias("was"), F.col("next").alias("root")).join(above, "root")
+            after = stored(twice.select("part", F.col("next").alias("root"), (F.col("next") != F.col("was")).alias("moved")))
             still = after.filter("moved").isEmpty()
             dropped(up)
             up = after
