@@ -278,6 +278,13 @@ def m68(spark, sf):
     return G.degrees(e, "a", "b")
 
 
+@query("M68_multilayer_hubs", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b, l_returnflag y FROM lineitem), d AS (SELECT n AS node, count(*) AS degree FROM (SELECT a n FROM e UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY 1) SELECT node, degree FROM d WHERE degree >= (SELECT quantile_cont(degree, 0.9) FROM d)")
+def m68_hubs(spark, sf):
+    """The nodes whose degree over all layers is at the ninetieth percentile or over it."""
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), "l_returnflag").distinct()
+    return G.hubs(e, "a", "b", 0.9)
+
+
 @query("M69_patient_risk", "WITH z AS (SELECT user_id, abs(value - avg(value) OVER w) / stddev_pop(value) OVER w > 2 AS hi FROM events WINDOW w AS (PARTITION BY event_type)) SELECT user_id, round(avg(hi::INT), 6) AS share, CASE WHEN avg(hi::INT) > 0.7 THEN 'high' WHEN avg(hi::INT) > 0.4 THEN 'moderate' ELSE 'low' END AS risk FROM z GROUP BY 1")
 def m69(spark, sf):
     z = M.standardise(table(spark, sf, "events"), "event_type", "value")
