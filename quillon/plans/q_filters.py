@@ -78,7 +78,7 @@ def p6(spark, sf):
 
 @query("P7_significant_top", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_discount < 0.02 AND abs(l_quantity - 25) > 5 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
 def p7(spark, sf):
-    hits = table(spark, sf, "lineitem").filter((F.col("l_discount") < 0.02) & (F.abs(F.col("l_quantity") - 25) > 5))
+    hits = table(spark, sf, "lineitem", (F.col("l_discount") < 0.02) & (F.abs(F.col("l_quantity") - 25) > 5))
     return hits.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(100).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 

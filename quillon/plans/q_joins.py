@@ -159,7 +159,7 @@ def j19(spark, sf):
 SELECT id, bool_or(a) AS has_orders, bool_or(b) AS has_customer, bool_or(c) AS has_events FROM k GROUP BY 1""",
 )
 def j20(spark, sf):
-    return J.presence({"orders": table(spark, sf, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("id")), "customer": table(spark, sf, "customer").filter("c_acctbal < 500").select(F.col("c_custkey").alias("id")), "events": table(spark, sf, "events").select(F.col("user_id").alias("id"))}, "id")
+    return J.presence({"orders": table(spark, sf, "orders", "o_totalprice > 400000").select(F.col("o_custkey").alias("id")), "customer": table(spark, sf, "customer", "c_acctbal < 500").select(F.col("c_custkey").alias("id")), "events": table(spark, sf, "events").select(F.col("user_id").alias("id"))}, "id")
 
 
 @query(
@@ -185,7 +185,7 @@ def j23(spark, sf):
 @query("J24_or_predicate", "SELECT DISTINCT p_partkey, p_name FROM part LEFT JOIN lineitem ON p_partkey = l_partkey WHERE p_brand = 'Brand#3' OR l_quantity >= 50")
 def j24(spark, sf):
     # The alternatives are two plans: one needs no join, the other a semi-join.
-    p, l = table(spark, sf, "part"), table(spark, sf, "lineitem").filter("l_quantity >= 50")
+    p, l = table(spark, sf, "part"), table(spark, sf, "lineitem", "l_quantity >= 50")
     return p.filter("p_brand = 'Brand#3'").unionAll(p.join(l, F.col("p_partkey") == F.col("l_partkey"), "left_semi")).select("p_partkey", "p_name").distinct()
 
 

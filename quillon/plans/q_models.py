@@ -24,7 +24,7 @@ def j7(spark, sf):
 @query("J4_left_metrics", "SELECT s_suppkey, a.n AS n_high, b.n AS n_low FROM supplier LEFT JOIN (SELECT l_suppkey k, count(*) n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) a ON s_suppkey = a.k LEFT JOIN (SELECT l_suppkey k, count(*) n FROM lineitem WHERE l_quantity < 2 GROUP BY 1) b ON s_suppkey = b.k")
 def j4(spark, sf):
     q = F.col("l_quantity")
-    per = table(spark, sf, "lineitem").filter((q > 49) | (q < 2)).groupBy("l_suppkey").agg(F.count(F.when(q > 49, 1)).alias("h"), F.count(F.when(q < 2, 1)).alias("l"))
+    per = table(spark, sf, "lineitem", (q > 49) | (q < 2)).groupBy("l_suppkey").agg(F.count(F.when(q > 49, 1)).alias("h"), F.count(F.when(q < 2, 1)).alias("l"))
     out = table(spark, sf, "supplier").join(per, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     return out.select("s_suppkey", F.nullif("h", F.lit(0)).alias("n_high"), F.nullif("l", F.lit(0)).alias("n_low"))
 

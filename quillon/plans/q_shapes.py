@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.registry import query
@@ -31,7 +31,7 @@ def u3(spark, sf):
 
 @query("U4_shared_hits", "SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.09 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09")
 def u4(spark, sf):
-    hit = lambda f: table(spark, sf, "lineitem").filter((F.col("l_returnflag") == f) & (F.col("l_discount") >= 0.09)).select(F.col("l_partkey").alias("k"))
+    hit = lambda f: table(spark, sf, "lineitem", (F.col("l_returnflag") == f) & (F.col("l_discount") >= 0.09)).select(F.col("l_partkey").alias("k"))
     return hit("A").intersect(hit("R"))
 
 
@@ -44,7 +44,7 @@ def u5(spark, sf):
 
 @query("U6_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def u6(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf, "orders").filter("o_totalprice > 200000").select("o_custkey"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf, "orders", "o_totalprice > 200000").select("o_custkey"))
 
 
 @query(
@@ -52,7 +52,7 @@ def u6(spark, sf):
     "WITH s AS (SELECT event_type k, count(DISTINCT user_id) n FROM events WHERE value > 60 GROUP BY 1), d AS (SELECT DISTINCT event_type k, user_id u FROM events WHERE value > 60), i AS (SELECT a.k x, b.k y, count(*) n FROM d a JOIN d b ON a.u = b.u AND a.k < b.k GROUP BY ALL) SELECT x, y, round(i.n / (a.n + b.n - i.n), 6) AS jaccard FROM i JOIN s a ON a.k = x JOIN s b ON b.k = y",
 )
 def u7(spark, sf):
-    d = table(spark, sf, "events").filter("value > 60").select(F.col("event_type").alias("k"), F.col("user_id").alias("u")).distinct()
+    d = table(spark, sf, "events", "value > 60").select(F.col("event_type").alias("k"), F.col("user_id").alias("u")).distinct()
     n = d.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     both = d.withColumnRenamed("k", "x").join(d.withColumnRenamed("k", "y"), "u").filter("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("i"))
     sized = both.join(n.toDF("x", "nx"), "x").join(n.toDF("y", "ny"), "y")
@@ -126,14 +126,15 @@ def ignore(spark, sf):
     return sinks.upsert(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], replace=False).select("o_custkey", "o_orderkey")
 
 
-def search(df: DataFrame, conditions: dict) -> DataFrame:
-    """Rows that meet all given conditions: column to value, or to (comparison, value). None leaves a condition out."""
+def matching(conditions: dict) -> Column:
+    """All given conditions: column to value, or to (comparison, value). None leaves a condition out."""
     compare = {"=": lambda c, v: c == v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
+    out = F.lit(True)
     for name, want in conditions.items():
         if want is not None:
             how, value = want if isinstance(want, tuple) else ("=", want)
-            df = df.filter(compare[how](F.col(name), F.lit(value)))
-    return df
+            out = out & compare[how](F.col(name), F.lit(value))
+    return out
 
 
 def contains(column: str, part: str):
@@ -144,7 +145,7 @@ def contains(column: str, part: str):
 
 @query("Q3_dynamic_conjunction", "SELECT c_custkey FROM customer WHERE 1 = 1 AND c_mktsegment = 'BUILDING' AND c_acctbal >= 1000 ORDER BY c_custkey")
 def q3(spark, sf):
-    return search(table(spark, sf, "customer"), {"c_mktsegment": "BUILDING", "c_acctbal": (">=", 1000), "c_nationkey": None}).select("c_custkey").orderBy("c_custkey")
+    return table(spark, sf, "customer", matching({"c_mktsegment": "BUILDING", "c_acctbal": (">=", 1000), "c_nationkey": None})).select("c_custkey").orderBy("c_custkey")
 
 
 @query("Q4_child_lookups", "SELECT c_custkey, count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_orderpriority) AS priorities, max(o_orderstatus) AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -177,7 +178,7 @@ def q9(spark, sf):
 
 @query("Q10_union", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
 def q10(spark, sf):
-    rich = table(spark, sf, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
+    rich = table(spark, sf, "customer", "c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
     return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).unionByName(rich).distinct()
 
 
@@ -188,7 +189,7 @@ def q11(spark, sf):
 
 @query("Q12_catalog_search", "SELECT DISTINCT p_partkey, p_brand FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) k ON p_partkey = l_partkey WHERE p_type ILIKE '%econ%' OR l_partkey IS NOT NULL")
 def q12(spark, sf):
-    found = table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("found", F.lit(True))
+    found = table(spark, sf, "lineitem", "l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("found", F.lit(True))
     return table(spark, sf, "part").select("p_partkey", "p_brand", "p_type").join(found, "p_partkey", "left").filter(contains("p_type", "econ") | F.col("found")).select("p_partkey", "p_brand").distinct()
 
 

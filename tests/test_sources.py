@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,21 @@ def test_streams(spark, tmp_path):
     assert sum(r[-1] for r in drain(spark, streams.sessions(src(), ["k"], "t", "30 minutes", "1 hour"), "se", "complete")) == 4
     assert drain(spark, streams.sliding(src(), ["k"], "t", "p", "1 hour", "1 hour", "1 hour"), "sl", "complete")
     assert drain(spark, streams.digest(src(), "t", "p", 2, "1 hour"), "di", "complete")
+
+
+def test_filters_on_floats_reach_the_scan(spark, tmp_path, capsys):
+    import math
+
+    from quillon import registry
+    from quillon.sources.tables import table
+
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        for name, pushed in (("P7_significant_top", "LessThan(l_discount,0.02)"), ("J24_or_predicate", "GreaterThanOrEqual(l_quantity,50.0)"), ("Q3_dynamic_conjunction", "GreaterThanOrEqual(c_acctbal,1000.0)")):
+            registry.QUERIES[name](spark, sf).explain("formatted")
+            plan = capsys.readouterr().out
+            assert any(pushed in line.split("PushedFilters:")[1] for line in plan.splitlines() if "PushedFilters:" in line), plan
+    rows = [(1, 5.0), (2, math.nan), (3, None), (4, -1.0)]
+    spark.createDataFrame(rows, "id int, v double").write.parquet(f"{tmp_path}/t.parquet")
+    ids = lambda where: sorted(r["id"] for r in table(spark, str(tmp_path), "t", where).collect())
+    assert ids("v > 0") == [1] and ids("v < 9") == [1, 4] and ids("v <> 5") == [4] and ids("id > 1") == [2, 3, 4] and ids(None) == [1, 2, 3, 4]
