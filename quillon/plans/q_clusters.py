@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.operators import bayes as B
 from quillon.operators import density as N
 from quillon.operators import factors as FM
+from quillon.operators import impute as I
 from quillon.operators import manifold as D
 from quillon.operators import stats as M
 from quillon.registry import query
@@ -125,6 +126,18 @@ def nearest(spark, sf):
     return M.impute_nearest(h, "id", ["q", "p", "d"], donors, 5)
 
 
+@query("M10_forest")
+def forest(spark, sf):
+    """All lines: missing quantities, prices and discounts (eleven values: a number, not a class) from forests."""
+    return I.impute_forest(_holes(spark, sf), "id", ["q", "p", "d"], [], rounds=2, trees=10, depth=6)
+
+
+@query("M10_multiple_imputation")
+def pooled(spark, sf):
+    """Means of five completed tables of all lines, pooled."""
+    return I.pooled_means(I.impute_draws(_holes(spark, sf), "id", ["q", "p", "d"], 5, 3), ["q", "p", "d"])
+
+
 @query("M10_little_test")
 def little(spark, sf):
     return M.little_statistic(_holes(spark, sf), ["q", "p", "d"])
