@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import semantics as S
 from quillon.operators import joins as J
+from quillon.operators import nulls
 from quillon.operators import signals
 from quillon.operators import stats as M
 from quillon.registry import query
@@ -51,13 +52,22 @@ def m12(spark, sf):
 
 @query("M17_permutation_test")
 def m17(spark, sf):
-    """Label permutations by seeded hash: the observed group difference against its null, 200 draws, all as one grouped plan."""
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("v"), (F.col("c_mktsegment") == "BUILDING").alias("g"))
-    n = c.agg(F.avg(F.col("g").cast("double")).alias("share"))
-    obs = c.agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("observed"))
-    draws = c.crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("h", F.pmod(F.xxhash64("c_custkey", "draw"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("share"))
-    null = draws.groupBy("draw").agg((F.avg(F.when(F.col("h"), F.col("v"))) - F.avg(F.when(~F.col("h"), F.col("v")))).alias("d"))
-    return null.crossJoin(obs).agg(F.first("observed").alias("observed"), F.avg((F.abs("d") >= F.abs("observed")).cast("double")).alias("p"))
+    """Balances of one segment against all others: the difference of means among 200 permutations of the labels."""
+    c = table(spark, sf, "customer").select("c_custkey", F.array("c_acctbal").alias("x"), (F.col("c_mktsegment") == "BUILDING").alias("g")).filter("x[0] is not null")
+    out = nulls.permutation_test(c, "c_custkey", "x", "g", lambda n, s, q: float(s[1, 0] / n[1] - s[0, 0] / n[0]), 200, two_sided=True)
+    return out.select("observed", "p")
+
+
+@query("M17_gap_statistic")
+def m17_gap(spark, sf):
+    """Labels of all embeddings against uniform references."""
+    return nulls.gap_statistic(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 4)
+
+
+@query("M17_sigclust")
+def m17_gaussian(spark, sf):
+    """Labels of all embeddings against clusters of one Gaussian."""
+    return nulls.sigclust(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", 5)
 
 
 @query("M21_gower", "WITH r AS (SELECT max(p_size) - min(p_size) AS rs, max(p_retailprice) - min(p_retailprice) AS rp FROM part), d AS (SELECT a.p_partkey AS i, b.p_partkey AS j, round((abs(a.p_size - b.p_size) / rs + abs(a.p_retailprice - b.p_retailprice) / rp + (a.p_type <> b.p_type)::INT) / 3, 6) AS distance FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_partkey % 100 = 0, r) SELECT i, j, distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS k FROM d) WHERE k <= 5")
