@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import sparse as S
+from quillon.operators import stability
 from quillon.plans.q_clusters import LETTERS, _letters
 from quillon.registry import query
 from quillon.sources.tables import table
@@ -26,6 +27,12 @@ def selected(spark, sf):
     return S.knockoff_select(S.knockoff_statistics(_wide(spark, sf), "doc_id", list(LETTERS), "english"), 0.5)
 
 
+@query("M22_stability_lasso")
+def stable(spark, sf):
+    """How often a lasso on half of all documents needs a letter to tell English from other languages."""
+    return stability.stability_selection(_wide(spark, sf), "doc_id", list(LETTERS), "english", 20, alphas=10)
+
+
 _SQL_W = "w AS (SELECT p_brand AS feature, (round(avg(l_discount), 6) - 0.05) * 10000 AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"
 
 
