@@ -9,6 +9,7 @@ from quillon.functions import semantics as S
 from quillon.functions import special
 from quillon.operators import cluster as K
 from quillon.operators import graph as G
+from quillon.operators import ranks as R
 from quillon.operators import stats as M
 from quillon.registry import query
 from quillon.sources.tables import table
@@ -68,6 +69,24 @@ def m5(spark, sf):
     return M.correlation_edges(v, "p_brand", "feature", "x").select("a", "b", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
 
 
+_SQL_T = """g AS (SELECT *, unnest(range(4001)) AS i FROM t), p AS (SELECT a, b, any_value(r) AS r, any_value(n) AS n, greatest(0, 1 - 2 * exp(any_value(lgamma((v + 1) / 2) - lgamma(v / 2))) / sqrt(any_value(v) * pi()) * any_value(t) / 4000 / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * i / 4000) * (t * i / 4000) / v, -(v + 1) / 2))) AS p FROM g GROUP BY a, b)"""
+
+
+@query(
+    "M5_cross_modality",
+    f"""WITH j AS (SELECT p_brand AS s, avg(l_extendedprice) AS e, avg(l_discount) AS d, avg(l_quantity) AS q, avg(l_tax) AS t, avg(p_retailprice) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), x AS (SELECT s, unnest(['price', 'discount']) AS a, round(unnest([e, d]), 7) AS x FROM j),
+y AS (SELECT s, unnest(['quantity', 'tax', 'retail']) AS b, round(unnest([q, t, r]), 7) AS y FROM j), k AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS y FROM x JOIN y USING (s)),
+c AS (SELECT a, b, corr(x, y) AS r, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT *, abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300)) AS t, (n - 2)::DOUBLE AS v FROM c WHERE abs(r) >= 0.3),
+{_SQL_T} SELECT a AS source, b AS target, round(r, 6) AS r, n, round(p, 5) AS p FROM p WHERE p < 0.05""",
+)
+def m5_cross(spark, sf):
+    """Rank correlations of brands' means: prices and discounts against quantity, tax and list price."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    j = lines.groupBy("p_brand").agg(*(F.round(F.avg(c), 7).alias(n) for n, c in (("price", "l_extendedprice"), ("discount", "l_discount"), ("quantity", "l_quantity"), ("tax", "l_tax"), ("retail", "p_retailprice"))))
+    out = R.cross_edges(S.long_form(j, ["p_brand"], ["price", "discount"]), S.long_form(j, ["p_brand"], ["quantity", "tax", "retail"]), "p_brand", "feature", "value")
+    return out.select("source", "target", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
+
+
 @query("M10_median_imputation", "WITH v AS (SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events), m AS (SELECT event_type, quantile_cont(v, 0.5) m FROM v GROUP BY 1) SELECT event_id, round(coalesce(v, m), 6) AS imputed FROM v JOIN m USING (event_type)")
 def m10(spark, sf):
     v = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("event_id") % 5 == 0, None).otherwise(F.col("value")).alias("v"))
