@@ -74,15 +74,15 @@ _SQL_T = """g AS (SELECT *, unnest(range(4001)) AS i FROM t), p AS (SELECT a, b,
 
 @query(
     "M5_cross_modality",
-    f"""WITH j AS (SELECT p_brand AS s, avg(l_extendedprice) AS e, avg(l_discount) AS d, avg(l_quantity) AS q, avg(l_tax) AS t, avg(p_retailprice) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), x AS (SELECT s, unnest(['price', 'discount']) AS a, round(unnest([e, d]), 7) AS x FROM j),
-y AS (SELECT s, unnest(['quantity', 'tax', 'retail']) AS b, round(unnest([q, t, r]), 7) AS y FROM j), k AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS y FROM x JOIN y USING (s)),
+    f"""WITH j AS (SELECT p_brand AS s, sum(l_extendedprice) AS e, avg(l_discount) AS d, sum(l_quantity) AS q, sum(l_tax) AS t, avg(p_retailprice) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), x AS (SELECT s, unnest(['price', 'discount']) AS a, round(unnest([e, d]), 5) AS x FROM j),
+y AS (SELECT s, unnest(['quantity', 'tax', 'retail']) AS b, round(unnest([q, t, r]), 5) AS y FROM j), k AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS y FROM x JOIN y USING (s)),
 c AS (SELECT a, b, corr(x, y) AS r, count(*) AS n FROM k GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT *, abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300)) AS t, (n - 2)::DOUBLE AS v FROM c WHERE abs(r) >= 0.3),
 {_SQL_T} SELECT a AS source, b AS target, round(r, 6) AS r, n, round(p, 5) AS p FROM p WHERE p < 0.05""",
 )
 def m5_cross(spark, sf):
-    """Rank correlations of brands' means: prices and discounts against quantity, tax and list price."""
+    """Rank correlations over brands: turnover and mean discount against quantity, taxes and mean list price."""
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    j = lines.groupBy("p_brand").agg(*(F.round(F.avg(c), 7).alias(n) for n, c in (("price", "l_extendedprice"), ("discount", "l_discount"), ("quantity", "l_quantity"), ("tax", "l_tax"), ("retail", "p_retailprice"))))
+    j = lines.groupBy("p_brand").agg(*(F.round(f(c), 5).alias(n) for n, f, c in (("price", F.sum, "l_extendedprice"), ("discount", F.avg, "l_discount"), ("quantity", F.sum, "l_quantity"), ("tax", F.sum, "l_tax"), ("retail", F.avg, "p_retailprice"))))
     out = R.cross_edges(S.long_form(j, ["p_brand"], ["price", "discount"]), S.long_form(j, ["p_brand"], ["quantity", "tax", "retail"]), "p_brand", "feature", "value")
     return out.select("source", "target", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"))
 
