@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -70,6 +71,45 @@ def test_suffix(docs, rows, none, length):
         assert suffix_dedup.remove_repeated_strings(none).count() == 0
 
 
+class AnyOrder:
+    """A grouped table whose functions get each group's rows in an order that changes whenever they run, as from several executors."""
+
+    def __init__(self, grouped):
+        self.grouped = grouped
+
+    def cogroup(self, other):
+        return AnyOrder(self.grouped.cogroup(other.grouped))
+
+    def applyInArrow(self, f, schema):
+        mixed = lambda t: t.take(np.random.default_rng().permutation(len(t)))
+        n = f.__code__.co_argcount - len(f.__defaults__ or ())
+        if n == 1:
+            return self.grouped.applyInArrow(lambda t: f(mixed(t)), schema)
+        if n == 2:
+            return self.grouped.applyInArrow(lambda key, t: f(key, mixed(t)), schema)
+        return self.grouped.applyInArrow(lambda key, t, u: f(key, mixed(t), mixed(u)), schema)
+
+
+def test_suffix_rows_in_any_order(spark, monkeypatch):
+    """Passages that some texts hold with equal ends, in several blocks, and others with other ends."""
+    r = random.Random(3)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(12):
+        passage = some(900)
+        texts += [passage] * 4 + [some(r.randint(1, 90)) + passage[r.randint(0, 300) :] + some(r.randint(1, 90)) for _ in range(4)] + [passage[40:470] + some(200)]
+    sized, grouped = suffix_dedup.B.sized, type(spark.range(0)).groupBy
+    monkeypatch.setattr(suffix_dedup.B, "sized", lambda *a: sized(*a, block_bytes=4000))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *by: AnyOrder(grouped(self, *by)) if by in (("block",), ("bucket",)) else grouped(self, *by))
+    out = suffix_dedup.remove_repeated_strings(df, with_text=True)
+    seen = collections.Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    for d, *got in out.select("doc_id", "n_removed", "kept_bytes").collect():
+        t = texts[d]
+        gone = {q for p in range(len(t) - 399) if seen[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        assert got == [len(gone), "".join(c for q, c in enumerate(t) if q not in gone).encode()], d
+
+
 def test_mixing_weights():
     tokens = [1000, 100, 10]
     shares = [t / 1110 for t in tokens]
