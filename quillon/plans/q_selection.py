@@ -33,7 +33,7 @@ def projector(spark, sf):
 )
 def votes(spark, sf):
     """The most frequent label of three given partitions: labels, and signs of two pairs of components."""
-    up = lambda k: (F.col("embedding")[k] > 0).cast("int")
+    up = lambda k: (F.get("embedding", F.lit(k)) > 0).cast("int")
     runs = table(spark, sf, "embeddings").select("vec_id", F.explode(F.array("label", up(0) * 2 + up(1), up(2) * 2 + up(3))).alias("l"))
     return density.vote(runs, "vec_id", "l").select("vec_id", "label", F.round("confidence", 6).alias("confidence"))
 

@@ -269,3 +269,18 @@ def test_preranked(spark):
     got = {r["set"]: r for r in W.preranked(spark.createDataFrame(rows, "gene long, score double, set string"), "gene", "score", "set", 200).collect()}
     assert got["top"]["es"] == pytest.approx(1) and got["top"]["p"] < 0.02 and got["top"]["nes"] > 1.5
     assert got["low"]["es"] == pytest.approx(-1) and got["low"]["nes"] < -1.5
+
+
+def test_vote_matches_sql(spark, tmp_path):
+    """Ties go to the smallest label; missing labels, vectors and components count in the share but don't win over a label."""
+    import duckdb
+
+    from quillon import registry
+
+    rows = [(1, [1.0, 1.0, -1.0, 1.0], 3), (2, [1.0, -1.0, -1.0, 1.0], 0), (3, [1.0], None), (4, None, 2), (5, None, None), (6, [1.0, 1.0, 1.0, 1.0], None), (7, [], -4), (None, [0.0, 0.0, float("nan"), 1.0], 9), (8, [None, 1.0, 1.0, -1.0], 2)]
+    rows += [(1, [-1.0, 1.0, 1.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = collections.Counter(duck.execute(registry.ORACLES["M16_vote_confidence"]).fetchall())
+    assert collections.Counter(tuple(r) for r in registry.QUERIES["M16_vote_confidence"](spark, str(tmp_path)).collect()) == want
