@@ -98,13 +98,23 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents that exact_groups() keeps, with all their columns, whatever their names.
 
     A null text counts as empty, null ids as larger than others; of repeated rows one stays; an empty table gives an empty
-    result. Whole rows move once, after repeated ones in one partition have become one.
+    result. Ids are looked up where the rows are, against those that go; whole rows move only if their id is null or
+    repeats, or if those ids are too many to broadcast.
     """
-    stays = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept")
-    keys = lambda i: (F.coalesce(i, F.lit(0)).alias("k"), i.isNull().alias("none"))
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys(F.col(id_col).cast("long")), digest.alias("sha"))
-    found = own.dropDuplicates(["k", "none", "sha"]).join(stays.select(*keys(F.col("doc_id")), F.col("text_sha256").alias("sha")), ["k", "none", "sha"], "left_semi")
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col)
+    verdict = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum(F.col("kept").cast("long")).alias("stay"))
+    # Ids that go, and those that don't name one row: the latter's rows are told apart by their texts.
+    other = materialise(verdict.filter("doc_id is null or times <> 1 or stay <> 1"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("k"))
+    found = own.filter("k is not null").join(other.select("doc_id"), F.col("k") == F.col("doc_id"), "left_anti").select("row")
+    odd = other.filter("doc_id is null or times > 1").select("doc_id")
+    if not odd.isEmpty():
+        keys = lambda i: (F.coalesce(i, F.lit(0)).alias("k"), i.isNull().alias("none"))
+        stays = groups.filter("kept").select(*keys(F.col("doc_id")), F.col("text_sha256").alias("sha"))
+        text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+        digest = F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "), 256)
+        some = own.filter("k is null").unionByName(own.join(odd, F.col("k") == F.col("doc_id"), "left_semi")).select("row", *keys(F.col("k")), digest.alias("sha"))
+        found = found.unionByName(some.dropDuplicates(["k", "none", "sha"]).join(stays, ["k", "none", "sha"], "left_semi").select("row"))
     return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

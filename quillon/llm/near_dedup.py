@@ -302,12 +302,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows without an id are all kept. Of rows with an equal id one is kept, that with the smallest text. An empty
     table gives an empty result.
     """
-    stays = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    stays = materialise(stays)
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id is not null").groupBy("doc_id")
+    # Ids that go (no row is kept), and those of several rows that are kept. They are few, so that rows can stay where they are.
+    other = materialise(groups.agg(F.sum(F.col("kept").cast("long")).alias("times")).filter("times <> 1"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("k"))
     named = own.filter("k is not null")
-    rows = own.filter("k is null").select("row").unionByName(named.join(stays.filter("times = 1"), F.col("k") == F.col("doc_id"), "left_semi").select("row"))
-    repeated = stays.filter("times > 1").select("doc_id")
+    rows = own.filter("k is null").select("row").unionByName(named.join(other.select("doc_id"), F.col("k") == F.col("doc_id"), "left_anti").select("row"))
+    repeated = other.filter("times > 1").select("doc_id")
     if not repeated.isEmpty():
         text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
         rows = rows.unionByName(named.join(repeated, F.col("k") == F.col("doc_id"), "left_semi").groupBy("k").agg(F.min_by("row", text).alias("row")).select("row"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm._shared import fresh, materialise
+from quillon.llm._shared import fresh, materialise, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -142,7 +142,9 @@ def mix_sources(
     words = tokens if tokens is not None else F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
     # All of docs' columns travel as one, so that none can clash with ours.
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).cast("string").alias("s"), F.col(id_col).cast("string").alias("id"), words.cast("long").alias("n"))
-    stats = materialise(own.groupBy("s").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")))
+    # What is decided before the result is decided on rows without texts; whole rows are read once more, where they are.
+    thin = materialise(own.select("s", "id", "n"))
+    stats = materialise(thin.groupBy("s").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")))
     top, least = stats.filter("t > 0").agg(F.max("t"), F.min("t")).first()
     exponent, raised = 1.0, 1.0
     if top:
@@ -159,17 +161,37 @@ def mix_sources(
     key = F.xxhash64("id", F.lit(seed))
     turn_of = lambda of_pass: F.xxhash64("block", F.lit(seed), of_pass)
     place_of = lambda of_pass: F.xxhash64(key, of_pass)
-    dealt = own.join(quotas, F.col("s").eqNullSafe(F.col("q"))).withColumn("block", F.pmod(F.xxhash64(key, F.lit(1)), F.col("blocks")))
+    block_of = F.pmod(F.xxhash64(key, F.lit(1)), F.col("blocks"))
+    dealt = thin.join(quotas, F.col("s").eqNullSafe(F.col("q"))).withColumn("block", block_of)
     # Tokens before each block in the last pass's permutation of its source's blocks: by ranges of turns, then within each.
-    sized = dealt.groupBy("q", "block", "full").agg(F.sum("n").alias("t")).withColumn("turn", turn_of(F.col("full"))).withColumn("range", F.shiftright("turn", 54))
+    sized = dealt.groupBy("q", "block", "full", "rest").agg(F.sum("n").alias("t")).withColumn("turn", turn_of(F.col("full"))).withColumn("range", F.shiftright("turn", 54))
     far, near = Window.partitionBy("r_q").orderBy("r_range"), Window.partitionBy("q", "range").orderBy("turn", "block")
     ranges = sized.groupBy(F.col("q").alias("r_q"), F.col("range").alias("r_range")).agg(F.sum("t").alias("r_t")).withColumn("earlier", F.sum("r_t").over(far) - F.col("r_t"))
     ordered = sized.withColumn("here", F.sum("t").over(near) - F.col("t"))
-    before = ordered.join(ranges, F.col("q").eqNullSafe(F.col("r_q")) & (F.col("range") == F.col("r_range"))).select(F.col("q").alias("b_q"), F.col("block").alias("b_block"), (F.col("earlier") + F.col("here")).alias("before"))
-    placed = dealt.join(before, F.col("q").eqNullSafe(F.col("b_q")) & (F.col("block") == F.col("b_block")))
-    inside = Window.partitionBy("q", "block").orderBy(place_of(F.col("full")), "id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("before") + F.sum("n").over(inside) <= F.col("rest")
-    passes = placed.withColumn("passes", F.col("full") + F.when((F.col("rest") > 0) & last, 1).otherwise(0)).filter("passes > 0")
+    before = ordered.join(ranges, F.col("q").eqNullSafe(F.col("r_q")) & (F.col("range") == F.col("r_range"))).withColumn("before", F.col("earlier") + F.col("here"))
+    # The last pass ends in one block of a source: blocks with earlier turns are in it, those with later turns aren't.
+    end = materialise(before.filter("rest > 0 and before <= rest and rest < before + t").select(F.col("q").alias("e_q"), F.col("turn").alias("e_turn"), F.col("block").alias("e_block"), "before"))
+    order_key = F.struct(place_of(F.col("full")).alias("place"), "id", "n")
+    inside = Window.partitionBy("q").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    ending = dealt.join(end, F.col("q").eqNullSafe(F.col("e_q")) & (F.col("block") == F.col("e_block"))).withColumn("key", order_key)
+    fitting = ending.withColumn("fits", (F.col("before") + F.sum("n").over(inside) <= F.col("rest")).cast("long"))
+    # The last key that fits; of the `tied` rows that have it, `fit` fit.
+    keys = fitting.groupBy("q", "key").agg(F.sum("fits").alias("fit"), F.count(F.lit(1)).alias("tied")).filter("fit > 0")
+    last = keys.groupBy(F.col("q").alias("l_q")).agg(F.max_by(F.struct("key", "fit", "tied"), "key").alias("last"))
+    plan = quotas.join(end, F.col("q").eqNullSafe(F.col("e_q")), "left").join(last, F.col("q").eqNullSafe(F.col("l_q")), "left")
+    plan = materialise(plan.select("q", "weight", "full", "rest", "blocks", "e_turn", "e_block", "last"))
+    release(thin, stats, end)
+    placed = own.join(plan, F.col("s").eqNullSafe(F.col("q"))).withColumn("block", block_of).withColumn("turn", turn_of(F.col("full")))
+    same_block = (F.col("turn") == F.col("e_turn")) & (F.col("block") == F.col("e_block"))
+    earlier = (F.col("turn") < F.col("e_turn")) | (F.col("turn") == F.col("e_turn")) & (F.col("block") < F.col("e_block"))
+    no = F.lit(False)
+    passes = placed.withColumn("passes", F.col("full") + F.coalesce(earlier | same_block & (order_key <= F.col("last.key")), no).cast("long"))
+    if not plan.filter("last.tied > last.fit").isEmpty():
+        torn = F.coalesce(same_block & (order_key == F.col("last.key")) & (F.col("last.tied") > F.col("last.fit")), no)
+        nth = F.row_number().over(Window.partitionBy("q").orderBy("id"))
+        some = passes.filter(torn).withColumn("passes", F.col("full") + (nth <= F.col("last.fit")).cast("long"))
+        passes = passes.filter(~torn).unionByName(some)
+    passes = passes.filter("passes > 0")
     out = passes.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))).withColumn("turn", turn_of(F.col("pass"))).withColumn("place", place_of(F.col("pass")))
     added = {"pass": "pass", "block": "block", "tokens": "n", "weight": "weight", "turn": "turn", "place": "place"}
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(F.col(c).alias(names[k]) for k, c in added.items())), names

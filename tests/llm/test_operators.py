@@ -294,6 +294,34 @@ def test_exact(docs, rows, none):
     assert exact_groups(none).count() == 0 and keep_first(none).count() == 0
 
 
+def test_whole_rows_stay(spark, tmp_path):
+    """Rows with texts aren't exchanged to drop or repeat a few of them, even if the ids of those that stay are too many to broadcast."""
+    r = random.Random(7)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(12)) for _ in range(4000)]
+    texts += texts[:3] + [f"{t} more" for t in texts[3:6]]
+    rows = [(r.randrange(1 << 60), t, f"s{i % 3}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        df.write.parquet(f"{tmp_path}/rows")
+        read = spark.read.parquet(f"{tmp_path}/rows")
+        for out, n in ((keep_first(read), 4003), (near_dedup.keep_one(read), 4000), (source_mixing.mix_sources(read)[0].select(*df.columns), 4006)):
+            assert not re.search("SortMergeJoin|Exchange hashpartitioning", out._jdf.queryExecution().executedPlan().toString())
+            assert len({x["doc_id"] for x in out.collect()}) == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_mixing_ties(spark):
+    """Of rows that tie in id and tokens as many are in the last pass as fit, and a row counts once a pass."""
+    df = spark.createDataFrame([(i % 4, "a b c", "s") for i in range(40)], "doc_id long, text string, source string")
+    for budget in (30, 75, 117, 120, 200):
+        got, names = source_mixing.mix_sources(df, budget=budget, most_repeats=None)
+        passes = collections.Counter(x[names["pass"]] for x in got.collect())
+        assert passes == collections.Counter({p: min(40, budget // 3 - 40 * p) for p in range(-(-(budget // 3) // 40))})
+
+
 def test_chunks_are_local():
     a = bytes(np.random.default_rng(1).integers(97, 123, 5000, np.uint8))
     cut = lambda t: {t[x:y] for x, y in zip([0, *chunk_ends(t, 64)], chunk_ends(t, 64), strict=False)}
