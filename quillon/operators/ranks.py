@@ -33,10 +33,12 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
 def cross_edges(left: DataFrame, right: DataFrame, entity: str, feature: str, value: str, method: str = "spearman", least: int = 10, strength: float = 0.3, alpha: float = 0.05) -> DataFrame:
     """(source, target, r, n, p) of the pairs of a feature of `left` and one of `right` (both entity, feature, value) that
     correlate by at least `strength` with p under alpha, from at least `least` entities that have both values. Ranks are
-    taken among these entities. Repeated rows of an entity and feature count each; constant features make no edge."""
+    taken among these entities. Repeated rows of an entity and feature count each; constant features make no edge.
+
+    Both sides are stored first: ranks are looked up by value, and sums of doubles may differ from one evaluation to the next."""
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown correlation {method}")
-    side = lambda d, f, v: d.select(entity, F.col(feature).alias(f), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(v)).dropna()
+    side = lambda d, f, v: stored(d.select(entity, F.col(feature).alias(f), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(v)).dropna())
     both = side(left, "source", "x").join(side(right, "target", "y"), entity)
     if method == "spearman":
         both = average_ranks(average_ranks(both, ["source", "target"], "x", "rx"), ["source", "target"], "y", "ry").select("source", "target", F.col("rx").alias("x"), F.col("ry").alias("y"))

@@ -48,3 +48,13 @@ def test_cross_edges(spark):
     assert R.cross_edges(l.limit(0), r, "id", "feature", "value").count() == 0
     with pytest.raises(ValueError):
         R.cross_edges(l, r, "id", "feature", "value", "other")
+
+
+def test_cross_edges_of_values_that_change(spark):
+    """Sums of doubles may differ between two evaluations of one plan; every row keeps its rank nonetheless."""
+    from pyspark.sql import functions as F
+
+    noise = F.udf(lambda i: i + random.random() / 1e6, "double").asNondeterministic()
+    rows = spark.range(40).repartition(4)
+    left, right = (rows.select("id", F.lit(n).alias("feature"), noise("id").alias("value")) for n in ("a", "b"))
+    assert [(e["n"], round(e["r"], 9)) for e in R.cross_edges(left, right, "id", "feature", "value").collect()] == [(40, 1.0)]
