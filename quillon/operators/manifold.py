@@ -51,7 +51,7 @@ def deviations(points: DataFrame, key: str, vector: str, control: Column, k: int
     if base.cells.n == 0:
         return points.sparkSession.createDataFrame([], "key long, orthogonal_residual double, mst_delta double, knn_curvature double, deviation double")
     every = stored(points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("x")).dropna())
-    near = stored(nearest(base.cells, min(k, base.cells.n), every))
+    near = nearest(base.cells, min(k, base.cells.n), every)
     inside = near.join(own.select("key"), "key", "left_semi").select("key", "neighbour")
     bases = tangents(own, inside, components)
     first = near.filter("rank = 1").select("key", "neighbour", F.col("distance").alias("step"))

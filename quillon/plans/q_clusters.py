@@ -22,7 +22,7 @@ LETTERS = "aehinoty"
 def _letters(spark, sf):
     """Every document as a point: how many of a hundred of its characters are each of eight letters."""
     d = table(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("t")).filter(F.length("t") > 0)
-    share = lambda c: (F.length("t") - F.length(F.replace("t", F.lit(c)))) * 100.0 / F.length("t")
+    share = lambda c: (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(c)))) * 100.0 / F.length("t")  # the letters are of one byte
     return d.select("doc_id", "lang", F.array(*map(share, LETTERS)).alias("x"))
 
 

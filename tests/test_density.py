@@ -284,3 +284,17 @@ def test_vote_matches_sql(spark, tmp_path):
     duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = collections.Counter(duck.execute(registry.ORACLES["M16_vote_confidence"]).fetchall())
     assert collections.Counter(tuple(r) for r in registry.QUERIES["M16_vote_confidence"](spark, str(tmp_path)).collect()) == want
+
+
+def test_nearest_visits_few_blocks(spark, monkeypatch):
+    """What is exchanged follows the rows, not the pairs of blocks: also with half of all rows at one place."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.full((600, 2), 0.5), rng.random((600, 2))])
+    sent, visiting = [], neighbours.Cells.visiting
+    monkeypatch.setattr(neighbours.Cells, "visiting", lambda *a: sent.append(visiting(*a)) or sent[-1])
+    cells = neighbours.Cells(frame(spark, x), "id", "v", 4)
+    monkeypatch.setattr(neighbours, "dropped", lambda *a: None)
+    near, far = plain.neighbour_distances(x, 4)
+    assert {(r["key"], r["rank"]): (r["neighbour"], r["distance"]) for r in neighbours.nearest(cells, 4).collect()} == {(i, j + 1): (near[i, j], far[i, j]) for i in range(len(x)) for j in range(4)}
+    assert sum(r["n"] for s in sent for r in s.selectExpr("size(to) AS n").collect()) < 8 * len(x)  # all pairs of 60 blocks: 60 a row
