@@ -92,7 +92,7 @@ class Cells:
         most = pivots or min(MOST_CELLS, max(1, self.n // BLOCK))
         wide = len((x.select("x").first() or {"x": [0.0]})["x"])
         some = x.orderBy(F.xxhash64("key"), "key").limit(max(most, min(32 * most, SAMPLE // max(1, wide)))).select("x").collect()
-        sample = np.array([r["x"] for r in some]).reshape(len(some), -1)
+        sample = np.array([r["x"] for r in some]).reshape(len(some), wide)
         splits = Splits(sample[~np.isnan(sample).any(1)], most)
 
         def cell(batches):
