@@ -298,3 +298,20 @@ def test_nearest_visits_few_blocks(spark, monkeypatch):
     near, far = plain.neighbour_distances(x, 4)
     assert {(r["key"], r["rank"]): (r["neighbour"], r["distance"]) for r in neighbours.nearest(cells, 4).collect()} == {(i, j + 1): (near[i, j], far[i, j]) for i in range(len(x)) for j in range(4)}
     assert sum(r["n"] for s in sent for r in s.selectExpr("size(to) AS n").collect()) < 8 * len(x)  # all pairs of 60 blocks: 60 a row
+
+
+def test_preranked_over_chunks(spark, monkeypatch):
+    """A ranking of many chunks, which no task holds whole, scores its sets as one of a single chunk does."""
+    monkeypatch.setattr(W, "CHUNK", 37)
+    rng = np.random.default_rng(6)
+    score = np.sort(rng.normal(0, 1, 200))[::-1]
+    sets = {"a": sorted(rng.choice(200, 30, replace=False).tolist()), "low": list(range(150, 200)), "one": [120]}
+    rows = [(i, float(score[i]), n) for n, at in sets.items() for i in at] + [(i, float(score[i]), "all") for i in range(200)]
+    got = {r["set"]: r for r in W.preranked(spark.createDataFrame(rows, "gene long, score double, set string"), "gene", "score", "set", 60).collect()}
+    for n, at in sets.items():
+        run, best = 0.0, 0.0
+        for i in range(200):
+            run += abs(score[i]) / sum(abs(score[at])) if i in at else -1 / (200 - len(at))
+            best = run if abs(run) > abs(best) else best
+        assert (got[n]["size"], got[n]["es"]) == (len(at), pytest.approx(best))
+    assert got["low"]["p"] < 0.1 and got["low"]["nes"] < -1.3 and got["all"]["es"] == pytest.approx(1)
