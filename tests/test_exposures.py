@@ -61,3 +61,29 @@ def test_cohort(spark):
     m = {r["subtype"]: r for r in c.groupBy("subtype").agg(F.avg("f0").alias("m"), F.stddev_samp("f0").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
     assert m[0]["m"] == pytest.approx(2, abs=0.1) and m[1]["m"] == pytest.approx(0, abs=0.1)
     assert m[1]["s"] == pytest.approx(1, abs=0.05) and min(r["n"] for r in m.values()) > 6000
+
+
+def test_bray_curtis_exchanges_no_pairs(spark, monkeypatch):
+    """All pairs that share a kind, of queries and rows in several blocks; the plan exchanges rows only."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillon.operators import cluster as K
+
+    monkeypatch.setattr(K, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(K, "ROW_BLOCK", 7)
+    rng = random.Random(2)
+    n = {(u, t): rng.randint(1, 9) for u in range(40) for t in "abcd" if rng.random() < 0.4} | {(3, None): 5, (None, "a"): 2}
+    got = K.bray_curtis(spark.createDataFrame([(u, t, v) for (u, t), v in n.items()], "u long, t string, n long"), F.col("u") % 4 == 0)
+    total = {u: sum(v for (w, _), v in n.items() if w == u) for u, _ in n}
+    want = {}
+    for x in (u for u in total if u is not None and u % 4 == 0):
+        for y in total:
+            m = sum(min(n.get((x, t), 0), n.get((y, t), 0)) for t in "abcd") if y is not None and y != x else 0
+            if m:
+                want[x, y] = 1 - 2 * m / (total[x] + total[y])
+    assert {(r["x"], r["y"]): r["distance"] for r in got.collect()} == want
+    few = K.bray_curtis(spark.createDataFrame([(u, "a", 1) for u in range(40)], "u long, t string, n long"), F.col("u") == 3)  # blocks without rows
+    assert few.count() == 39
+    assert "HashAggregate(keys=[x" not in got._jdf.queryExecution().toString()
